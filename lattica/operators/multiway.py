@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.session import ship_package
+
 
 def orient(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected simple edges a < b from directed ones in any direction; self-loops go."""
@@ -66,6 +68,7 @@ def hypercube_triangles(edges: DataFrame, side: int = 2) -> DataFrame:
         e.select(F.lit(2).alias("atom"), bucket("src").alias("i"), free.alias("j"), bucket("dst").alias("k"), "src", "dst"),
     ]
     dealt = parts[0].unionByName(parts[1]).unionByName(parts[2]).select((F.col("i") * side * side + F.col("j") * side + F.col("k")).alias("cell"), "atom", "src", "dst")
+    ship_package(edges.sparkSession)
     return dealt.groupBy("cell").applyInArrow(_join_cell, "a long, b long, c long")
 
 

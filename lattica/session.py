@@ -12,6 +12,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,22 @@ def build_session(name: str = "lattica", cores: int | str = "*", partitions: int
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_lattica_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lattica-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent
+    archive = Path(folder, "lattica.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._lattica_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints; set to a temporary one only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
