@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from lattica.llm import exact_dedup, mixing, tokens
+from lattica.llm import chat, exact_dedup, mixing, pii, secrets, tokens
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_personal_data": pii.op4_personal_data,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_token_counts": tokens.op10_token_counts,
 }
 ORACLES = {
+    "op2_chat_format": chat.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }
