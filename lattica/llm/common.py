@@ -29,10 +29,11 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def each_text(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], schema: str) -> DataFrame:
+def each_slice(docs: DataFrame, make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str) -> DataFrame:
     """A row for each document: doc_id and what the function that ``make`` builds says of its text.
 
-    ``make`` runs once a task, so it can build tables and caches. ``schema`` excludes doc_id.
+    ``make`` runs once a task, so it can build tables and caches; the function gets some texts at a
+    time. ``schema`` excludes doc_id.
     """
     full = f"doc_id long, {schema}"
     arrow = _arrow_schema(docs.sparkSession, full)
@@ -42,14 +43,23 @@ def each_text(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], schem
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [of(t) for t in part.column(1).to_pylist()]
-                columns = list(zip(*found, strict=True))
+                columns = list(zip(*of(part.column(1).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True)]], schema=arrow)
 
     ship_package(docs.sparkSession)
     return id_and_text(docs).mapInArrow(rows, full)
 
 
+def each_text(docs: DataFrame, make: Callable[[], Callable[[str], tuple]], schema: str) -> DataFrame:
+    """As each_slice, for functions of one text."""
+
+    def of_slice():
+        of = make()
+        return lambda texts: [of(t) for t in texts]
+
+    return each_slice(docs, of_slice, schema)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -58,6 +68,20 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return pa.schema([pa.field(f.name, pa.string() if pa.types.is_large_string(f.type) else f.type) for f in schema])
 
 
+#: Ids up to which a set of them is broadcast (16 bytes each and a hash table); more are joined.
+BROADCAST_IDS = 500_000
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids`` (__id, without repeats), or is not.
+
+    ``ids`` must be durable: it is counted first, and broadcast only if it is small. A null doc_id is
+    never among them.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi" if keep else "left_anti")
+
+
 Span = tuple[int, int, str]
 
 

@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.common import documents, each_text
+from lattica.llm.common import documents, each_slice
 
 #: Tokens above which a document counts as too long.
 LIMIT = 2048
@@ -60,6 +61,7 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order, made
         self.known: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
 
     def merge(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token (non-empty, lower case)."""
@@ -94,50 +96,52 @@ class WordBpe:
             stay[where + 1] = False
             # Pre-tokens without a merge are final: they leave with their counts.
             alive = np.repeat(least < none, np.diff(np.r_[begin, len(sym)]))
-            np.subtract.at(out, owner[where], 1)
+            out -= np.bincount(owner[where], minlength=len(out))
             stay &= alive
             sym, owner = sym[stay], owner[stay]
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Counts of chunks without white space; their pre-tokens are merged in one batch."""
+        """Counts of chunks without white space; pre-tokens not met before are merged in one batch."""
         parts = [_PRE.findall(c) for c in chunks]
-        flat = [p for ps in parts for p in ps]
-        unique = list(dict.fromkeys(flat))
-        count = dict(zip(unique, self.merge(unique).tolist(), strict=True)) if unique else {}
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        self.known.update((c, sum(count[p] for p in ps)) for c, ps in zip(chunks, parts, strict=True))
-
-    def plain(self, text: str) -> int:
+        known = self.parts
+        if new := list({p for ps in parts for p in ps if p not in known}):
+            known.update(zip(new, self.merge(new).tolist(), strict=True))
+        self.known.update((c, sum(map(known.__getitem__, ps))) for c, ps in zip(chunks, parts, strict=True))
+
+    def chunks(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters change case one by one, so no final sigma
         text = text.lower()
-        chunks = [c for c in _SPACES.split(text) if c] if _ODD.search(text) else text.split()
-        if new := [c for c in set(chunks) if c not in self.known]:
+        return [c for c in _SPACES.split(text) if c] if _ODD.search(text) else text.split()
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text. Between calls, memories that have grown too large start anew."""
+        for memory in (self.known, self.parts):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        pieces = [self.special.split(t) if "<" in t else [t] for t in texts]
+        split = [[c for p in ps for c in self.chunks(p)] if len(ps) > 1 else self.chunks(ps[0]) for ps in pieces]
+        known = self.known
+        if new := list({c for cs in split for c in cs if c not in known}):
             self.learn(new)
-        return sum(map(self.known.__getitem__, chunks))
+        return [sum(map(known.__getitem__, cs)) + len(ps) - 1 for cs, ps in zip(split, pieces, strict=True)]
+
 
-    def count(self, text: str) -> int:
-        if "<" not in text:
-            return self.plain(text)
-        parts = self.special.split(text)
-        return sum(map(self.plain, parts)) + len(parts) - 1
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> WordBpe:
+    """Read once a Python worker."""
+    return WordBpe(path)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; ``path`` must be readable on the executors."""
 
     def make():
-        bpe = WordBpe(path)
-
-        def of(text: str) -> tuple[int, int, bool]:
-            n = bpe.count(text)
-            return len(text.encode("utf-8", "surrogatepass")), n, n > limit
-
-        return of
+        bpe = vocabulary(path)
+        return lambda texts: [(len(t.encode("utf-8", "surrogatepass")), n, n > limit) for t, n in zip(texts, bpe.count(texts), strict=True)]
 
-    return each_text(docs, make, "n_bytes long, n_tokens long, over_limit boolean")
+    return each_slice(docs, make, "n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
