@@ -17,7 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, documents, id_and_text
+from lattica.llm.common import ascii_lower, documents, id_and_text, only_ids
+from lattica.session import checkpointed
 
 #: Salts a digest is spread over. Reducers of the last step get at most this many rows a text.
 SALTS = 64
@@ -48,14 +49,19 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
 
 
 def keep_one(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row of a text, repeated ids included.
+    """The rows of ``docs`` that stay, with all their columns; ids that occur once or are null are exact.
 
-    Only ids of copies are matched with the table, so texts do not move again.
+    Only the ids of dropped rows are matched with the table, so texts need not move again. Rows with
+    one id and one text are repeats of a row: one of them stays.
     """
-    out = exact_dedup(docs, salts).where("kept").select(F.col("doc_id").alias("__id"), "group_size")
-    stay = out.groupBy("__id").agg(F.max("group_size").alias("__n"))
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("__id"))).select(*[docs[c] for c in docs.columns])
-    return kept
+    decided = checkpointed(exact_dedup(docs, salts).where(F.col("group_size") > 1).groupBy("doc_id", "kept", "text_sha256").agg(F.count(F.lit(1)).alias("n")))
+    gone = checkpointed(decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct())
+    repeated = checkpointed(decided.where(F.col("kept") & (F.col("n") > 1)).select(F.col("doc_id").alias("__id")).distinct())
+    stay = only_ids(docs, gone, keep=False)
+    if repeated.isEmpty():
+        return stay
+    once, twice = only_ids(stay, repeated, keep=False), only_ids(stay, repeated, keep=True)
+    return once.unionByName(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
