@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lattica.llm import chat, decontaminate, exact_dedup, mixing, pii, quality, secrets, simhash, tokens
+from lattica.llm import chat, decontaminate, exact_dedup, mixing, pii, quality, secrets, simhash, suffix_dedup, tokens
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_chat_format": chat.op2_chat_format,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_personal_data": pii.op4_personal_data,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_simhash": simhash.op7_simhash,
     "op8_mix_sources": mixing.op8_mix_sources,
