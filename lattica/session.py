@@ -8,6 +8,7 @@ Blocks kept on one executor only are never used, so a lost executor costs a re-r
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -83,6 +84,15 @@ def written(df: DataFrame, name: str = "cut", partition_by: str | None = None) -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the context drop shuffle and checkpoint files of frames that are no longer held.
+
+    It learns of them when the driver's garbage is collected, which may otherwise not happen for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fits_broadcast(df: DataFrame, limit_bytes: int) -> bool:
     """Whether the optimiser's own size estimate of ``df`` is within ``limit_bytes``.
 
