@@ -8,8 +8,8 @@ cover to COVERAGE holds it, in whatever order its parts stand.
 The benchmark is read in blocks of a bounded number of bytes. Each block's index is broadcast, and the
 documents are scanned once a block, so any benchmark fits. Nothing about documents is gathered.
 
-Cases: null text is empty; items without words match nothing; items of fewer words than a seed are
-their own seed; repeated items are found each, repeated documents too; an empty table gives an empty
+Cases: null text is empty; items of fewer words than a tile prove nothing and match nothing; items of
+fewer words than a seed are their own seed; repeated items are found each, repeated documents too; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -129,7 +129,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         known: dict[str, int] = {}
         self.items = [(i, token_hashes(t or "", known)) for i, t in items]
-        self.items = [(i, t) for i, t in self.items if len(t)]
+        self.items = [(i, t) for i, t in self.items if len(t) >= LEAST_TILE]
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in {min(SEED_WORDS, len(t)) for _, t in self.items}:
             hashes, owners = [], []

@@ -24,7 +24,6 @@ texts of any length are cut in blocks; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import SLICE, _arrow_schema, documents, id_and_text
 from lattica.llm.suffix_array import permuted_prefixes, suffix_arrays
-from lattica.session import ship_package, written
+from lattica.session import free_shuffles, ship_package, written
 
 LENGTH, GRAM = 100, 32
 #: Windows from which an anchor is chosen.
@@ -256,12 +255,6 @@ def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _freed(spark: SparkSession) -> None:
-    """Let the context drop shuffle files of frames that are no longer held."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
     """Packed repeats by document bucket, and the number of these buckets. ``docs``: doc_id unique, text."""
     spark = docs.sparkSession
@@ -322,7 +315,7 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
     dealt = docs.mapInArrow(cut, PACKED).repartition(buckets, "bucket")
     met = written(dealt.mapInArrow(combine, PACKED), "segments")
     del dealt
-    _freed(spark)
+    free_shuffles(spark)
 
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         """The texts of the segments, from documents of the same bucket, dealt by anchor again."""
@@ -366,7 +359,7 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
     texts = placed.groupBy("bucket").cogroup(met.where(F.col("kind") == REP).groupBy("bucket")).applyInArrow(fetch, PACKED)
     induced = written(texts.repartition(buckets, "bucket").mapInArrow(induce, PACKED), "repeats")
     del placed, texts
-    _freed(spark)
+    free_shuffles(spark)
     return met.where(F.col("kind") == GONE).unionByName(induced), doc_buckets
 
 
