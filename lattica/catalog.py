@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lattica.functions.semiring import MIN, MINPLUS
 from lattica.operators.fixpoint import labelled_reach, min_reachable, transitive_closure
 from lattica.operators.multiway import closing_triangles, hypercube_triangles, symmetric, triangles
-from lattica.operators.relation import Relation, merge_all
+from lattica.operators.relation import Relation, merge_all, outer_all
 from lattica.plans.compile import Engine
-from lattica.sources.tables import graph, table
-from lattica.streaming.views import counted, delta_paths, paths
+from lattica.sources.tables import graph, successions, table
+from lattica.streaming.views import PathView, counted, delta_paths, paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,10 +46,12 @@ def with_ctes(sql: str, *names: str) -> str:
     return f"with recursive {', '.join(_CTES[n][1] for n in needed)} {sql}" if needed else sql
 
 
-def query(sql: str, *ctes: str) -> Callable[[Query], Query]:
+def query(sql: str, *ctes: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, or ``name``, with SQL over the tables and ``ctes``."""
+
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = with_ctes(sql, *ctes)
+        QUERIES[name or f.__name__] = f
+        ORACLES[name or f.__name__] = with_ctes(sql, *ctes)
         return f
 
     return register
@@ -199,6 +201,12 @@ def full_outer(spark, d):
     return left.outer(right, "full", "ln", "rn", default=0)
 
 
+@query("select k, coalesce(max(n) filter (where s = 0), 0)::bigint as n0, coalesce(max(n) filter (where s = 1), 0)::bigint as n1, coalesce(max(n) filter (where s = 2), 0)::bigint as n2 from (select src k, dst % 3 as s, count(*) n from edge where dst % 9 < 3 group by all) group by 1", "edge")
+def outer_nway(spark, d):
+    e = graph(spark, d, "edge").where(F.col("dst") % 9 < 3)
+    return outer_all([Relation.as_bag(e.where(F.col("dst") % 3 == i).select(F.col("src").alias("k")), "k", count=f"n{i}") for i in range(3)], default=0)
+
+
 @query("select p_partkey as k, e.dst as dst from part left join sedge e on p_partkey = e.src", "sedge")
 def left_outer(spark, d):
     return _parts(spark, d).outer(_sedge(spark, d).rename("k", "dst"), "left").select("k", "dst")
@@ -270,8 +278,6 @@ def min_agg(spark, d):
 
 @query("select a.src as a, b.dst as c, min(a.q + b.q) as cost from (select src, dst, min(q) q from raw where q <= 3 group by all) a join (select src, dst, min(q) q from raw where q <= 3 group by all) b on a.dst = b.src group by all", "raw")
 def min_plus(spark, d):
-    from lattica.sources.tables import successions
-
     cost = Relation.as_map(successions(spark, d).where(F.col("q") <= 3), ["src", "dst"], "q", MINPLUS)
     return cost.rename("a", "b").join(cost.rename("b", "c"), value="cost").project("a", "c").df
 
@@ -302,6 +308,26 @@ def datalog_negation(spark, d):
     return out.toDF("a", "c")
 
 
+@query("select distinct x.a as a, y.b as c, x.a + y.b as t from u x join u y on x.b = y.a where (x.a + y.b) % 2 = 0 and x.a < 50", "u")
+def datalog_function(spark, d):
+    even_sum = lambda x, y: F.when((x + y) % 2 == 0, x + y)  # noqa: E731  undefined for odd sums
+    out = Engine(spark, {"u": graph(spark, d, "u")}, {"even_sum": even_sum}).rule("h(a, c, t) <- u(a, b), u(b, c), even_sum(a, c, t), a < 50")
+    return out.toDF("a", "c", "t")
+
+
+@query("select distinct a.l_partkey as src from lineitem a join orders on a.l_orderkey = o_orderkey join customer on o_custkey = c_custkey where c_nationkey = 7 and a.l_quantity = 50")
+def datalog_star(spark, d):
+    line = table(spark, d, "lineitem").where(F.col("l_quantity") == 50).select("l_orderkey", "l_partkey")
+    stored = {"line": line, "placed": table(spark, d, "orders").select("o_orderkey", "o_custkey"), "lives": table(spark, d, "customer").select("c_custkey", "c_nationkey")}
+    return Engine(spark, stored).rule("h(p) <- line(o, p), placed(o, c), lives(c, 7)").toDF("src")
+
+
+@query("select src as a, dst as b, 'odd' as parity from (select distinct src, dst, k % 2 as p from (with recursive walk(src, dst, k) as (select src, dst, 1 from sedge union select w.src, e.dst, 1 + (w.k % 2) from walk w join sedge e on w.dst = e.src) select * from walk)) where p = 1", "sedge")
+def datalog_mutual(spark, d):
+    out = Engine(spark, {"e": graph(spark, d, "sedge")}).run("odd(a, b) <- e(a, b). odd(a, c) <- even(a, b), e(b, c). even(a, c) <- odd(a, b), e(b, c).")
+    return out["odd"].toDF("a", "b").withColumn("parity", F.lit("odd"))
+
+
 @query("select src as a, dst as c from tr", "tr")
 def datalog_program(spark, d):
     out = Engine(spark, {"edge": graph(spark, d, "sedge")}).run("relation path(long, long). path(a, b) <- edge(a, b). path(a, c) <- path(a, b), edge(b, c).")
@@ -341,13 +367,18 @@ def closure_doubling(spark, d):
     return transitive_closure(graph(spark, d, "sedge"), "doubling")
 
 
-@query("select a, c from nreach", "nreach")
-def labelled_reachability(spark, d):
+@query("select a, c from nreach", "nreach", name="labelled_reach")
+def labelled_reach_query(spark, d):
     return labelled_reach(graph(spark, d, "nseed"), graph(spark, d, "sedge"))
 
 
-@query("select src as v, min(dst) as m from tr group by 1", "tr")
-def min_reach(spark, d):
+@query("select a, c from nreach", "nreach")
+def labelled_reach_adaptive(spark, d):
+    return labelled_reach(graph(spark, d, "nseed"), graph(spark, d, "sedge"), "adaptive")
+
+
+@query("select src as v, min(dst) as m from tr group by 1", "tr", name="min_reachable")
+def min_reachable_query(spark, d):
     return min_reachable(graph(spark, d, "sedge"))
 
 
@@ -363,5 +394,15 @@ def ivm_wedges(spark, d):
     return view.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
 
 
+@query("select x.src as a, x.dst as b, y.dst as c, count(*)::bigint as n from raw x join raw y on x.dst = y.src where x.q >= 50 and y.q >= 50 group by 1, 2, 3", "raw")
+def ivm_batches(spark, d):
+    """A view that is fed in four batches, of which each is joined with what came before only."""
+    view = PathView(spark)
+    raw = successions(spark, d).where(F.col("q") >= 50).select("src", "dst")
+    for i in range(4):
+        view.apply(raw.where(F.pmod(F.xxhash64("src", "dst"), F.lit(4)) == i))
+    return view.current()
+
+
 #: The queries that bench.py times: one for each family of plans.
-HEADLINES = ("triangle_undirected", "triangle_directed", "triangle_bag", "closure", "closure_doubling", "labelled_reachability", "min_reach", "ivm_wedges", "wedge_by_mid", "full_outer", "union_nway", "datalog_negation")
+HEADLINES = ("triangle_undirected", "triangle_directed", "triangle_bag", "closure", "closure_doubling", "labelled_reach", "min_reachable", "ivm_wedges", "wedge_by_mid", "full_outer", "union_nway", "datalog_negation")

@@ -256,3 +256,18 @@ def natural_join(relations: Sequence[Relation], order: Callable[[list[Relation]]
         left.remove(nearest)
         out = out.join(nearest)
     return out
+
+
+def outer_all(relations: Sequence[Relation], default: Any = None) -> DataFrame:
+    """Full outer join of any number of annotated relations on their common keys, one column each.
+
+    The inputs are stacked and grouped once: one shuffle whatever their number, in place of a chain of
+    outer joins. Where a relation lacks a tuple its column is ``default``.
+    """
+    keys = relations[0].keys
+    values = [r.value for r in relations]
+    if any(r.keys != keys or r.value is None for r in relations) or len(set(values)) != len(values):
+        raise ValueError("the same keys and different value columns are needed")
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r.df.select(*keys, r.value) for r in relations])
+    out = stacked.groupBy(*keys).agg(*[r.semiring.plus(F.col(r.value)).alias(r.value) for r in relations])
+    return out.na.fill(default, subset=values) if default is not None else out
