@@ -8,7 +8,7 @@ shingles, of which near copies share most: a table's samples agree for half of t
 one of the tables finds a pair with a chance of over 0.999.
 
 No group is expanded to pairs. A bucket of up to SMALL documents is compared in full; a larger one
-through its least document, and those that differ from it go on among themselves until none are left.
+through its least document, and those that differ from it go on to finer buckets until none are left.
 
 Cases: null text is empty and equal to other empty texts; repeated ids are one document; a null doc_id
 is left alone; an empty table gives an empty result; columns pass through.
@@ -17,13 +17,13 @@ is left alone; an empty table gives an empty result; columns pass through.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import each_slice, only_ids
 from lattica.llm.components import components
 from lattica.llm.simhash import SEED, fingerprint, near_fingerprints, shingle_hashes, signed
-from lattica.session import checkpointed, written
+from lattica.session import checkpointed, free_shuffles, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sampled fingerprints a document, and shingles in a sample.
@@ -69,8 +69,9 @@ def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample:
 
 
 def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-    sets = sketched.select("doc_id", "shingles")
+    """The pairs (a, b) whose shingle sets are similar enough. ``pairs`` must be durable."""
+    ids = checkpointed(pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct())
+    sets = only_ids(sketched.select("doc_id", "shingles"), ids, keep=True)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -78,38 +79,45 @@ def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFra
     return both.where((common >= similarity * union) | (union == 0)).select("a", "b")
 
 
+def _joint_key(table: Column, depth: int, tables: int) -> Column:
+    """A hash of ``depth`` sampled fingerprints from the table's own one on, around the end."""
+    return F.xxhash64(*[F.element_at("keys", F.pmod(table + i, F.lit(tables)) + 1) for i in range(depth)])
+
+
 def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, small: int = SMALL) -> DataFrame:
-    """Tested links (a, b) between near copies, few enough a document."""
+    """Tested links (a, b) between near copies, few enough a document.
+
+    In round d a bucket is given by d fingerprints. What a crowded bucket's least document doesn't
+    settle goes to the next round, with finer buckets, until none is left.
+    """
+    spark = docs.sparkSession
     sketched = written(sketches(docs, words, tables), "sketches")
-    whole = checkpointed(sketched.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    whole = checkpointed(sketched.groupBy("whole").agg(F.min("doc_id").alias("least")))
     near = near_fingerprints(whole.select(F.col("whole").alias("fp")))
     first = near.join(whole.select(F.col("whole").alias("a"), F.col("least").alias("la")), "a").join(whole.select(F.col("whole").alias("b"), F.col("least").alias("lb")), "b")
-    of_whole = first.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    buckets = sketched.select("doc_id", F.posexplode("keys").alias("table", "key"))
-    same = sketched.select("doc_id", F.lit(-1).alias("table"), F.col("whole").alias("key"))
-    members = buckets.unionByName(same)
-    pairs, found, tested = of_whole, None, None
+    same = sketched.select("whole", F.col("doc_id").alias("b")).join(whole, "whole").where(F.col("least") != F.col("b"))
+    pairs = checkpointed(first.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(same.select(F.col("least").alias("a"), "b")).distinct())
+    found = checkpointed(similar(pairs, sketched, similarity))
+    tested, depth = pairs, 1
+    members = sketched.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), "keys")
     while True:
-        sizes = checkpointed(members.groupBy("table", "key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
-        if sizes.isEmpty() and pairs is None:
-            break
-        large = checkpointed(members.join(sizes.where(F.col("n") > small), ["table", "key"]).select("table", "key", "doc_id", "least"))
-        few = members.join(sizes.where(F.col("n") <= small).select("table", "key"), ["table", "key"]).select("table", "key", "doc_id")
+        keyed = members.select("doc_id", "table", _joint_key(F.col("table"), min(depth, tables), tables).alias("key"))
+        sizes = keyed.groupBy("table", "key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+        placed = written(keyed.join(checkpointed(sizes), ["table", "key"]), "buckets")
+        few = placed.where(F.col("n") <= small)
         among = few.select("table", "key", F.col("doc_id").alias("a")).join(few.select("table", "key", F.col("doc_id").alias("b")), ["table", "key"]).where(F.col("a") < F.col("b")).select("a", "b")
-        led = large.where(F.col("doc_id") != F.col("least")).select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        new = among.unionByName(led)
-        new = (new.unionByName(pairs) if pairs is not None else new).where(F.col("a") != F.col("b")).distinct()
-        if tested is not None:
-            new = new.join(tested, ["a", "b"], "left_anti")
-        new = checkpointed(new)
-        passed = checkpointed(similar(new, sketched, similarity))
-        found = passed if found is None else found.unionByName(passed)
-        tested = new if tested is None else tested.unionByName(new)
-        rest = large.where(F.col("doc_id") != F.col("least")).join(found.select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_anti")
-        members, pairs = checkpointed(rest.select("doc_id", "table", "key")), None
-        if members.isEmpty():
-            break
-    return found.distinct()
+        large = placed.where(F.col("n") > small).where(F.col("doc_id") != F.col("least"))
+        new = checkpointed(among.unionByName(large.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))).distinct().join(tested, ["a", "b"], "left_anti"))
+        found = checkpointed(found.unionByName(similar(new, sketched, similarity)))
+        tested = checkpointed(tested.unionByName(new))
+        unsettled = large.join(found.select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_anti").select("doc_id", "table")
+        rest = checkpointed(unsettled)
+        free_shuffles(spark)
+        if rest.isEmpty():
+            return found.distinct()
+        ids = checkpointed(rest.select(F.col("doc_id").alias("__id")).distinct())
+        members = rest.join(only_ids(sketched.select("doc_id", "keys"), ids, keep=True), "doc_id")
+        depth += 1
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

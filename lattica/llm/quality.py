@@ -194,7 +194,11 @@ def train(sample: list[dict], rounds: int = ROUNDS, sure: float = SURE) -> Model
         seen[n] = seen.get(n, 0) + 1
     pages = {n: i for i, n in enumerate(sorted(n for n, c in seen.items() if c >= LEAST_DOCS))}
     model = Model(borders, {int(v): i for i, v in enumerate(vocabulary)}, pages)
-    text = Rows.of([np.searchsorted(vocabulary, x[np.isin(x, vocabulary)]) for x in ids])
+    flat = np.concatenate([*ids, np.empty(0, np.uint32)])
+    at = np.searchsorted(vocabulary, flat)
+    there = np.zeros(len(flat), bool)
+    there[at < len(vocabulary)] = vocabulary[at[at < len(vocabulary)]] == flat[at < len(vocabulary)]
+    text = Rows(at[there].astype(np.int64), np.concatenate([[0], np.cumsum(there)])[np.cumsum([0, *map(len, ids)])])
     page = Rows.of(model.page_features(figures, names))
     held = np.array([zlib.crc32(b"held%d" % (r["doc_id"] or 0)) % 4 == 0 for r in sample], bool)
     for trait in TRAITS:
