@@ -15,7 +15,8 @@ def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     first = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("q"))
     second = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
-    return first.join(second, ["l_orderkey", "l_linenumber"]).select("src", "dst", "q")
+    # Keys are never null: one filter here, for both ends, lets every query share one exchange below.
+    return first.join(second, ["l_orderkey", "l_linenumber"]).select("src", "dst", "q").na.drop(subset=["src", "dst"])
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
