@@ -61,6 +61,8 @@ class PathView:
     spark: SparkSession
     edges: Layers = field(default_factory=lambda: Layers(disjoint=False))
     view: Layers = field(default_factory=lambda: Layers(disjoint=False))
+    #: Number of the last micro-batch that was applied.
+    last: int = -1
 
     def apply(self, delta: DataFrame) -> DataFrame:
         """Add a batch of edges (src, dst); returns the added paths."""
@@ -71,6 +73,12 @@ class PathView:
         self.view.push(out)
         return out.df
 
+    def apply_batch(self, delta: DataFrame, number: int) -> None:
+        """Apply a micro-batch once: a batch that is delivered again after a failure is passed over."""
+        if number > self.last:
+            self.apply(delta)
+            self.last = number
+
     def current(self) -> DataFrame:
         return self.view.total().df if self.view.layers else self.spark.createDataFrame([], "a long, b long, c long, n long")
 
@@ -87,4 +95,4 @@ class PathView:
 
 def maintain_stream(stream: DataFrame, view: PathView, checkpoint: str):
     """Extension: feed a streaming frame of edges (src, dst) to the view, one micro-batch at a time."""
-    return stream.writeStream.foreachBatch(lambda batch, _: view.apply(batch.select("src", "dst")) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: view.apply_batch(batch.select("src", "dst"), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -106,3 +106,13 @@ def test_semiring_laws(a, b, c):
         assert times(a, times(b, c)) == times(times(a, b), c)
         assert times(a, plus(b, c)) == plus(times(a, b), times(a, c))
         assert not ring.idempotent or plus(a, a) == a
+
+
+def test_many_outer_joins(spark):
+    from lattica.operators import outer_all
+
+    parts = [Relation.rows(spark, [(k, v) for k in ks], f"k long, {n} long", "map", n) for ks, v, n in (((1, 2), 5, "x"), ((2, 3), 6, "y"), ((3,), 7, "z"))]
+    assert sorted(map(tuple, outer_all(parts, default=0).select("k", "x", "y", "z").collect())) == [(1, 5, 0, 0), (2, 5, 6, 0), (3, 0, 6, 7)]
+    assert {tuple(r) for r in outer_all(parts).select("k", "z").collect()} == {(1, None), (2, None), (3, 7)}
+    with pytest.raises(ValueError):
+        outer_all([parts[0], parts[0]])

@@ -42,3 +42,5 @@ def test_stream(spark, tmp_path):
     query = maintain_stream(stream, view, str(tmp_path / "state"))
     query.awaitTermination(60)
     assert [tuple(r) for r in view.current().select("a", "b", "c", "n").collect()] == [(1, 2, 3, 1)]
+    view.apply_batch(spark.createDataFrame([(2, 9)], "src long, dst long"), view.last)  # delivered again
+    assert view.current().count() == 1
