@@ -69,9 +69,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small or medium frame (row format, cleaned up once unreferenced)."""
-    shared_dir(df.sparkSession)
+def checkpointed(df: DataFrame, fewer: int = 1) -> DataFrame:
+    """Cut the lineage of a small or medium frame (row format, cleaned up once unreferenced).
+
+    ``fewer`` divides the number of shuffle partitions for the frame's own: for frames that are much
+    smaller than what they come from, of which every part would be a nearly empty file.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if fewer > 1:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     return df.checkpoint(eager=True)
 
 
@@ -91,13 +98,3 @@ def free_shuffles(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def fits_broadcast(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the optimiser's own size estimate of ``df`` is within ``limit_bytes``.
-
-    The estimate is an upper bound for scans (file size or better), projections and filters; joins
-    and aggregates over-estimate, which only means that a broadcast is given up.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
