@@ -16,12 +16,14 @@ is left alone; an empty table gives an empty result; columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import each_slice, only_ids
-from lattica.llm.components import components
+from lattica.llm.components import FEWER, components
 from lattica.llm.simhash import SEED, fingerprint, near_fingerprints, shingle_hashes, signed
 from lattica.session import checkpointed, free_shuffles, written
 
@@ -70,7 +72,7 @@ def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample:
 
 def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough. ``pairs`` must be durable."""
-    ids = checkpointed(pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct())
+    ids = checkpointed(pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct(), FEWER)
     sets = only_ids(sketched.select("doc_id", "shingles"), ids, keep=True)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -96,33 +98,44 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, t
     near = near_fingerprints(whole.select(F.col("whole").alias("fp")))
     first = near.join(whole.select(F.col("whole").alias("a"), F.col("least").alias("la")), "a").join(whole.select(F.col("whole").alias("b"), F.col("least").alias("lb")), "b")
     same = sketched.select("whole", F.col("doc_id").alias("b")).join(whole, "whole").where(F.col("least") != F.col("b"))
-    pairs = checkpointed(first.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(same.select(F.col("least").alias("a"), "b")).distinct())
-    found = checkpointed(similar(pairs, sketched, similarity))
-    tested, depth = pairs, 1
-    members = sketched.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), "keys")
+    pairs = checkpointed(first.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(same.select(F.col("least").alias("a"), "b")).distinct(), FEWER)
+    del whole, near, first, same
+    found, tested = [checkpointed(similar(pairs, sketched, similarity), FEWER)], [pairs]
+    members, depth = sketched.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), "keys"), 1
     while True:
-        keyed = members.select("doc_id", "table", _joint_key(F.col("table"), min(depth, tables), tables).alias("key"))
-        sizes = keyed.groupBy("table", "key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        placed = written(keyed.join(checkpointed(sizes), ["table", "key"]), "buckets")
-        few = placed.where(F.col("n") <= small)
-        among = few.select("table", "key", F.col("doc_id").alias("a")).join(few.select("table", "key", F.col("doc_id").alias("b")), ["table", "key"]).where(F.col("a") < F.col("b")).select("a", "b")
-        large = placed.where(F.col("n") > small).where(F.col("doc_id") != F.col("least"))
-        new = checkpointed(among.unionByName(large.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))).distinct().join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(found.unionByName(similar(new, sketched, similarity)))
-        tested = checkpointed(tested.unionByName(new))
-        unsettled = large.join(found.select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_anti").select("doc_id", "table")
-        rest = checkpointed(unsettled)
+        new, rest = _round(members, depth, tables, small, sketched, similarity, found, tested)
+        tested.append(new)
+        del members
         free_shuffles(spark)
         if rest.isEmpty():
-            return found.distinct()
-        ids = checkpointed(rest.select(F.col("doc_id").alias("__id")).distinct())
+            return _union(found).distinct()
+        ids = checkpointed(rest.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
         members = rest.join(only_ids(sketched.select("doc_id", "keys"), ids, keep=True), "doc_id")
         depth += 1
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _round(members: DataFrame, depth: int, tables: int, small: int, sketched: DataFrame, similarity: float, found: list[DataFrame], tested: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Test one round's candidates and add what passes to ``found``; (tested pairs, unsettled members)."""
+    keyed = members.select("doc_id", "table", _joint_key(F.col("table"), min(depth, tables), tables).alias("key"))
+    sizes = checkpointed(keyed.groupBy("table", "key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), FEWER)
+    placed = checkpointed(keyed.join(sizes, ["table", "key"]), FEWER)
+    few = placed.where(F.col("n") <= small)
+    among = few.select("table", "key", F.col("doc_id").alias("a")).join(few.select("table", "key", F.col("doc_id").alias("b")), ["table", "key"]).where(F.col("a") < F.col("b")).select("a", "b")
+    large = placed.where((F.col("n") > small) & (F.col("doc_id") != F.col("least")))
+    pairs = among.unionByName(large.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))).distinct()
+    new = checkpointed(pairs.join(_union(tested), ["a", "b"], "left_anti"), FEWER)
+    found.append(checkpointed(similar(new, sketched, similarity), FEWER))
+    rest = large.join(_union(found).select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_anti")
+    return new, checkpointed(rest.select("doc_id", "table"), FEWER)
+
+
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) for each document that has a near copy; root is the least id of its group."""
-    return components(checkpointed(links(docs, words, similarity)))
+    return components(checkpointed(links(docs, words, similarity), FEWER))
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

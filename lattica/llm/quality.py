@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,11 @@ from lattica.llm.common import SLICE, _arrow_schema, documents
 from lattica.session import ship_package
 
 #: Rows with labels, rows without, and words of the vocabulary that training uses at most.
-LABELLED, POOL, VOCABULARY = 8_000, 4_000, 30_000
+LABELLED, POOL, VOCABULARY = 12_000, 4_000, 30_000
 #: Rounds of exchange, and the calibrated certainty that a pseudo-label needs.
-ROUNDS, SURE = 3, 0.97
+ROUNDS, SURE = 3, 0.99
+#: Least quality and most toxicity of rows that are kept: clear of one half, as clean rows are the many.
+LEAST_QUALITY, MOST_TOXIC = 0.4, 0.6
 #: Chi-square from which a feature counts as telling.
 TELLING = 12.0
 #: Documents of the sample that a word must be in.
@@ -46,7 +49,7 @@ _DIGITS = b"0123456789"
 _TAIL = re.compile(rb"[^0-9A-Za-z\x80-\xff]{2,}$")
 #: Bins of a layout figure, by quantiles of the sample.
 BINS = 12
-FIGURES = 10
+FIGURES = 11
 
 
 def words_in(text: str) -> tuple[list[bytes], set[bytes]]:
@@ -55,7 +58,9 @@ def words_in(text: str) -> tuple[list[bytes], set[bytes]]:
     words = raw.split()
     seen = {w.strip(_MARKS) for w in set(raw.translate(_LOWER).split())}
     for w in set(words):
-        if len(w) > 2 and not (w[-2:].isalnum() or w[-2] >= 48) and (m := _TAIL.search(w)):
+        if not w.strip(_MARKS):
+            seen.add(b"#" + w[:4])
+        elif len(w) > 2 and not (w[-2:].isalnum() or w[-2] >= 48) and (m := _TAIL.search(w)):
             seen.add(b"#" + m[0][:4])
     seen.discard(b"")
     return words, seen
@@ -69,7 +74,8 @@ def layout(text: str, words: list[bytes]) -> list[float]:
     triples = len(set(zip(words, words[1:], words[2:], strict=False)))
     return [
         np.log1p(size), np.log1p(len(words)), size / n, share(_UPPER), share(_MARKS), share(_DIGITS),
-        len(set(words)) / n, triples / max(n - 2, 1), np.log1p(len(lines)), len(set(lines)) / len(lines),
+        len(set(words)) / n, triples / (n - 2) if n > 2 else 1.0, np.log1p(len(lines)), len(set(lines)) / len(lines),
+        sum(map(eq, words, words[1:])) / n,
     ]
 
 
@@ -306,7 +312,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     p[t] = sigmoid(z @ model.mix[t])
                 none = [None] * len(part)
                 q, x = p.get("quality", none), p.get("toxic", none)
-                keep = [(a is None or a >= 0.5) and (b is None or b < 0.5) for a, b in zip(q, x, strict=True)]
+                keep = [(a is None or a >= LEAST_QUALITY) and (b is None or b < MOST_TOXIC) for a, b in zip(q, x, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in part], pa.int64()), pa.array(list(q), pa.float64()), pa.array(list(x), pa.float64()), pa.array([bool(k) for k in keep])], schema=arrow)
 
     return docs.select(*_inputs(docs)).mapInArrow(rows, schema)
