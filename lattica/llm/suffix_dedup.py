@@ -13,6 +13,11 @@ together as a segment, segments are dealt by their anchor's hash, and strings th
    earliest in their shard meet once more by digests.
 3. Each document gets its repeats, removes their union and digests the rest.
 
+An anchor that CROWD or more different segments of one map task share, as at the ends of a passage that
+very many documents hold, would put ever more segments into one bucket. Such a task sends their
+windows one by one, dealt by the windows' digests, and marks the anchor; what other tasks sent for it,
+less than CROWD segments each, follows window by window in step 2.
+
 Packed arrays travel in rows of a few hundred kB, so a task holds a bucket of bounded size, and the
 number of buckets follows the number of bytes. Digests of segments and windows have 128 bits, anchor
 included; equality by digest is as good as by content at any size in sight.
@@ -42,6 +47,8 @@ LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 #: Segments that a map task combines at once, and segments of one shard.
 FLUSH, SHARD = 700_000, 24
+#: Different segments with one anchor in a map task from which their windows are dealt singly.
+CROWD = 256
 #: Bytes of text a bucket of segments or of documents stands for, about, and letters of shards induced together.
 BUCKET_BYTES, DOC_BYTES, TOGETHER = 12 << 20, 4 << 20, 1 << 20
 #: Bytes of a text that are cut at a time.
@@ -222,7 +229,8 @@ def _mark_across(members: range, rows: np.ndarray, texts: list[bytes], later: li
 # -- Spark ------------------------------------------------------------------------------------
 
 PACKED = "bucket int, kind int, data binary, texts binary"
-REP, GONE = 0, 1
+#: Kinds of rows: segments, repeats, segments of crowded anchors, and single windows of these.
+REP, GONE, CROWDED, WINDOW = 0, 1, 2, 3
 
 
 def _packed(rows: list[tuple[int, int, bytes, bytes]], schema: pa.Schema) -> pa.RecordBatch:
@@ -236,6 +244,18 @@ def _by_bucket(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[in
     return [(int(bucket[a]), kind, _columns(rows[a:b]), b"") for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
+def single_windows(rows: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Each window of the segments as a segment of its own, with the window's digest."""
+    out = []
+    for row, text in zip(rows, texts, strict=True):
+        at = np.arange(row["windows"])
+        part = np.zeros(len(at), SEGMENT)
+        part["anchor"], part["doc"], part["start"], part["windows"] = row["anchor"], row["doc"], row["start"] + at, 1
+        part["digest"] = _digests(_sums(np.frombuffer(text, np.uint8)), at, at + LENGTH)
+        out.append(part)
+    return np.concatenate(out) if out else np.zeros(0, SEGMENT)
+
+
 def _columns(rows: np.ndarray) -> bytes:
     """Column by column: numbers of one kind beside each other compress."""
     return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
@@ -265,13 +285,26 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        whole: dict[int, bytes] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             first, others = earliest(np.concatenate(held))
-            out = _by_bucket(first, (first["anchor"] % np.uint64(buckets)).astype(np.int64), REP)
-            if len(others):
-                gone = as_repeats(others)
+            begin = np.flatnonzero(np.r_[True, first["anchor"][1:] != first["anchor"][:-1]])
+            count = np.diff(np.r_[begin, len(first)])
+            crowded = np.repeat(count >= CROWD, count)
+            gone = [as_repeats(others)]
+            out = []
+            if crowded.any():
+                rows = first[crowded]
+                alone, more = earliest(single_windows(rows, [whole[d][s : s + w + LENGTH - 1] for d, s, w in zip(rows["doc"].tolist(), rows["start"].tolist(), rows["windows"].tolist(), strict=True)]))
+                gone.append(as_repeats(more))
+                out += _by_bucket(alone, (alone["digest"] % np.uint64(buckets)).astype(np.int64), WINDOW)
+                marks = first[begin[count >= CROWD]].copy()
+                marks["windows"] = 0
+                first = np.concatenate([first[~crowded], marks])
+            out += _by_bucket(first, (first["anchor"] % np.uint64(buckets)).astype(np.int64), REP)
+            if len(gone := np.concatenate(gone)):
                 out += [(b % buckets, GONE, d, t) for b, _, d, t in _by_bucket(gone, doc_bucket(gone["doc"], buckets), GONE)]
             return _packed(out, schema)
 
@@ -279,40 +312,50 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows = segments(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
+                    data = text.encode("utf-8", "surrogatepass")
+                    rows = segments(np.frombuffer(data, np.uint8))
                     if len(rows):
-                        rows["doc"] = doc_id
+                        rows["doc"], whole[doc_id] = doc_id, data
                         held.append(rows)
                         size += len(rows)
                 if size >= FLUSH:
                     yield flush()
                     held.clear()
+                    whole.clear()
                     size = 0
         if held:
             yield flush()
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
+        single: dict[int, list[np.ndarray]] = {}
         gone: list[np.ndarray] = []
         for batch in batches:
             for bucket, kind, data in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if kind == REP:
-                    held.setdefault(bucket, []).append(_rows(data, SEGMENT))
-                else:
+                if kind == GONE:
                     gone.append(_rows(data, REPEAT))
+                else:
+                    (held if kind == REP else single).setdefault(bucket, []).append(_rows(data, SEGMENT))
+        for bucket in list(single):
+            first, others = earliest(np.concatenate(single.pop(bucket)))
+            gone.append(as_repeats(others))
+            yield _packed([(bucket, WINDOW, _columns(first), b"")], schema)
         for bucket in list(held):
-            first, others = earliest(np.concatenate(held.pop(bucket)))
+            rows = np.concatenate(held.pop(bucket))
+            marked = np.unique(rows["anchor"][rows["windows"] == 0])
+            first, others = earliest(rows[rows["windows"] > 0])
             gone.append(as_repeats(others))
+            crowded = np.isin(first["anchor"], marked) if len(marked) else np.zeros(len(first), bool)
             shared = np.zeros(len(first), bool)
             shared[1:] = first["anchor"][1:] == first["anchor"][:-1]
             shared[:-1] |= shared[1:]
-            rows = first[shared]
-            if len(rows):
-                yield _packed(_by_bucket(rows, doc_bucket(rows["doc"], doc_buckets), REP), schema)
+            for kind, rows in ((REP, first[shared & ~crowded]), (CROWDED, first[crowded])):
+                if len(rows):
+                    yield _packed(_by_bucket(rows, doc_bucket(rows["doc"], doc_buckets), kind), schema)
         if gone and len(rows := np.concatenate(gone)):
             yield _packed(_by_bucket(rows, doc_bucket(rows["doc"], doc_buckets), GONE), schema)
 
-    dealt = docs.mapInArrow(cut, PACKED).repartition(buckets, "bucket")
+    dealt = docs.mapInArrow(cut, PACKED).repartitionById(buckets, F.col("bucket"))
     met = written(dealt.mapInArrow(combine, PACKED), "segments")
     del dealt
     free_shuffles(spark)
@@ -320,9 +363,11 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
     def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
         """The texts of the segments, from documents of the same bucket, dealt by anchor again."""
         out = []
-        wanted = [_rows(d.as_py(), SEGMENT) for d in right.column("data")]
-        if wanted and left.num_rows:
-            rows = np.concatenate(wanted)
+        wanted = {k: [_rows(d, SEGMENT) for d, x in zip(right.column("data").to_pylist(), right.column("kind").to_pylist(), strict=True) if x == k] for k in (REP, CROWDED)}
+        for kind, parts in wanted.items():
+            if not parts or not left.num_rows:
+                continue
+            rows = np.concatenate(parts)
             rows = rows[np.argsort(rows["doc"], kind="stable")]
             place = {d: i for i, d in enumerate(left.column("doc_id").to_pylist())}
             texts, last, data = [], None, b""
@@ -330,6 +375,10 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
                 if doc != last:
                     data, last = left.column("text")[place[doc]].as_py().encode("utf-8", "surrogatepass"), doc
                 texts.append(data[start : start + windows + LENGTH - 1])
+            if kind == CROWDED:
+                alone = single_windows(rows, texts)
+                out += _by_bucket(alone, (alone["digest"] % np.uint64(buckets)).astype(np.int64), WINDOW)
+                continue
             to = (rows["anchor"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             edge = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
@@ -340,9 +389,17 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, bytes]]] = {}
+        single: list[np.ndarray] = []
         for batch in batches:
-            for bucket, data, texts in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
-                held.setdefault(bucket, []).append((_rows(data, SEGMENT), texts))
+            for bucket, kind, data, texts in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if kind == WINDOW:
+                    single.append(_rows(data, SEGMENT))
+                else:
+                    held.setdefault(bucket, []).append((_rows(data, SEGMENT), texts))
+        if single:
+            found = as_repeats(earliest(np.concatenate(single))[1])
+            if len(found):
+                yield _packed(_by_bucket(found, doc_bucket(found["doc"], doc_buckets), GONE), schema)
         for bucket in list(held):
             parts = held.pop(bucket)
             rows = np.concatenate([r for r, _ in parts])
@@ -356,8 +413,9 @@ def repeats(docs: DataFrame, total_bytes: int) -> tuple[DataFrame, int]:
                 yield _packed(_by_bucket(found, doc_bucket(found["doc"], doc_buckets), GONE), schema)
 
     placed = with_bucket(docs, doc_buckets)
-    texts = placed.groupBy("bucket").cogroup(met.where(F.col("kind") == REP).groupBy("bucket")).applyInArrow(fetch, PACKED)
-    induced = written(texts.repartition(buckets, "bucket").mapInArrow(induce, PACKED), "repeats")
+    texts = placed.groupBy("bucket").cogroup(met.where(F.col("kind").isin(REP, CROWDED)).groupBy("bucket")).applyInArrow(fetch, PACKED)
+    texts = texts.unionByName(met.where(F.col("kind") == WINDOW))
+    induced = written(texts.repartitionById(buckets, F.col("bucket")).mapInArrow(induce, PACKED), "repeats")
     del placed, texts
     free_shuffles(spark)
     return met.where(F.col("kind") == GONE).unionByName(induced), doc_buckets

@@ -258,5 +258,15 @@ def test_crowded_groups_meet_across_shards():
     assert marks == want
 
 
+def test_windows_of_crowded_anchors(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    test_repeats(spark, False, None)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(1, 3))) + passage + "".join(rng.choice("uv") for _ in range(rng.randint(0, 3)))) for i in range(120)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(table(spark, rows).repartition(3)).collect()}
+    assert {i: [v] for i, v in got.items()} == plain_removal(rows)
+
+
 def test_no_repeats(spark):
     assert suffix_dedup.suffix_dedup(table(spark, [])).count() == 0
