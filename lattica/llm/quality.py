@@ -31,7 +31,9 @@ from lattica.llm.common import SLICE, _arrow_schema, documents
 from lattica.session import ship_package
 
 #: Rows with labels, rows without, and words of the vocabulary that training uses at most.
-LABELLED, POOL, VOCABULARY = 12_000, 4_000, 30_000
+LABELLED, POOL, VOCABULARY = 8_000, 4_000, 30_000
+#: Words whose places a task remembers.
+REMEMBERED = 150_000
 #: Rounds of exchange, and the calibrated certainty that a pseudo-label needs.
 ROUNDS, SURE = 3, 0.99
 #: Least quality and most toxicity of rows that are kept: clear of one half, as clean rows are the many.
@@ -291,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE).to_pylist()
-                if len(place) > 400_000:
+                if len(place) > REMEMBERED:
                     place.clear()
                 lists, figures = [], []
                 for r in part:
