@@ -221,17 +221,9 @@ class Decoder:
             if score is None:
                 score = emit
                 continue
-            live = n > t
-            new = np.empty_like(score)
-            for j in range(k):
-                best, origin = score[0] + pairs[0, j], back[t, j]
-                for i in range(1, k):
-                    other = score[i] + pairs[i, j]
-                    better = other > best
-                    origin[better] = i
-                    best = np.where(better, other, best)
-                new[j] = best
-            score = np.where(live, new + emit, score)
+            options = score[:, None, :] + pairs[:, :, None]
+            back[t] = options.argmax(0)
+            score = np.where(n > t, options.max(0) + emit, score)
         label = score.argmax(0)
         out = np.zeros((longest, len(lines)), np.uint8)
         lanes = np.arange(len(lines))
