@@ -32,8 +32,10 @@ from lattica.session import checkpointed, ship_package
 SEED_WORDS, LEAST_TILE, COVERAGE = 5, 3, 0.7
 #: Bytes of benchmark text whose index is broadcast at a time.
 BLOCK_BYTES = 8 << 20
+#: Pairs of places of an item and of a document that may be compared at a time.
+PAIRS = 2 << 20
 #: Remembered words of a task.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +100,22 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[tup
 
 
 def _common_runs(item: np.ndarray, doc: np.ndarray, free_item: np.ndarray, free_doc: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
-    """Maximal equal runs of at least ``size`` unmarked tokens."""
+    """Maximal equal runs of at least ``size`` unmarked tokens.
+
+    A long document is taken in blocks that overlap by the item's length, as no run is longer.
+    """
+    block = max(len(item), PAIRS // max(len(item), 1))
+    for begin in range(0, len(doc), block):
+        stop = begin + block + len(item)
+        for i, j, n in _runs_in(item, doc[begin:stop], free_item, free_doc[begin:stop], size):
+            j += begin
+            # A run that goes back beyond the block, or starts behind it, belongs to a neighbour.
+            cut = begin and j == begin and i and item[i - 1] == doc[j - 1] and free_item[i - 1] and free_doc[j - 1]
+            if not cut and j < begin + block:
+                yield i, j, n
+
+
+def _runs_in(item: np.ndarray, doc: np.ndarray, free_item: np.ndarray, free_doc: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
     x, y = rolling(item, size), rolling(doc, size)
     if not len(x) or not len(y):
         return

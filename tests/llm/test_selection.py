@@ -56,7 +56,9 @@ def plain_tiling(item, doc, least):
         free_item[i : i + k] = free_doc[j : j + k] = [False] * k
 
 
-def test_tiling():
+@pytest.mark.parametrize("pairs", [2 << 20, 1])
+def test_tiling(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     rng = random.Random(1)
     for _ in range(600):
         letters = rng.choice([2, 3, 5])
