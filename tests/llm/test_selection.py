@@ -178,3 +178,67 @@ def test_pipeline(spark, small):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def plain_pipeline(docs, items, kept_ids):
+    """(doc_id, copy) of the whole pipeline by plain loops, given what the classifier keeps."""
+    import hashlib
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = {d.doc_id: d for d in docs if d.doc_id in kept_ids}
+    last = {}
+    for i, d in sorted(rows.items()):
+        last[(d.text or "").translate(lower)] = i
+    rows = {i: rows[i] for i in last.values()}
+    sets = {}
+    for i, d in rows.items():
+        words = (d.text or "").translate(lower).split()
+        sets[i] = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    rows = {i: d for i, d in rows.items() if root[i] == i}
+
+    def leaks(text):
+        doc = re.findall(r"\w+", text.lower())
+        seeds = {tuple(doc[k : k + 5]) for k in range(len(doc) - 4)}
+        for item in items:
+            words = re.findall(r"\w+", item.text.lower())
+            if any(tuple(words[k : k + 5]) in seeds for k in range(len(words) - 4)):
+                number = {w: n for n, w in enumerate({*words, *doc})}
+                tiles = tile(np.array([number[w] for w in words], np.uint64), np.array([number[w] for w in doc], np.uint64))
+                if sum(n for _, _, n in tiles) >= 0.7 * len(words):
+                    return True
+        return False
+
+    rows = {i: d for i, d in rows.items() if not leaks(d.text or "")}
+    size = {}
+    for d in rows.values():
+        size[d.source] = size.get(d.source, 0) + 1
+    whole = sum(n**0.5 for n in size.values())
+    out = set()
+    for i, d in rows.items():
+        rate = len(rows) * size[d.source] ** 0.5 / whole / size[d.source]
+        parts, times = max(1, math.ceil(rate / 8)), 0
+        for j in range(parts):
+            u = int(hashlib.md5(f"17:{i}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / parts)
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            times += k
+        out |= {(i, n) for n in range(1, times + 1)}
+    return out
+
+
+def test_pipeline_against_brute_force(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    kept = {r.doc_id for r in pipeline.quality(spark, docs, small).collect()}
+    want = plain_pipeline(docs.collect(), spark.read.parquet(f"{small}/benchmark.parquet").collect(), kept)
+    assert {(r.doc_id, r.copy) for r in pipeline.run(spark, small).collect()} == want
