@@ -261,10 +261,24 @@ def test_crowded_groups_meet_across_shards():
 def test_windows_of_crowded_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", 3)
     test_repeats(spark, False, None)
+    # One task finds the passage's ends crowded, the other doesn't.
+    monkeypatch.setattr(suffix_dedup, "CROWD", 30)
+    kinds, plain = [], suffix_dedup.written
+
+    def seen(df, name):
+        out = plain(df, name)
+        kinds.extend(r.kind for r in out.select("kind").distinct().collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "written", seen)
     rng = random.Random(2)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
-    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(1, 3))) + passage + "".join(rng.choice("uv") for _ in range(rng.randint(0, 3)))) for i in range(120)]
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(table(spark, rows).repartition(3)).collect()}
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(1, 4))) + passage + "".join(rng.choice("uvw") for _ in range(rng.randint(0, 4)))) for i in range(170)]
+    rng.shuffle(rows)
+    parts = spark.createDataFrame([(i, t, int(n >= 150)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, part int")
+    both = parts.repartitionById(2, F.col("part"))
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(both).collect()}
+    assert {suffix_dedup.CROWDED, suffix_dedup.WINDOW} <= set(kinds)
     assert {i: [v] for i, v in got.items()} == plain_removal(rows)
 
 
