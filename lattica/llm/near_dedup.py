@@ -7,8 +7,12 @@ documents within two bits, through anchors, and from fingerprints of small min-w
 shingles, of which near copies share most: a table's samples agree for half of the pairs at 0.8, so
 one of the tables finds a pair with a chance of over 0.999.
 
-No group is expanded to pairs. A bucket of up to SMALL documents is compared in full; a larger one
-through its least document, and those that differ from it go on to finer buckets until none are left.
+Those tables only find most links cheaply. A bucket of up to SMALL documents is compared in full there; a
+larger one through its least document, and those that differ from it go on to finer buckets. An exact
+join decides the rest: two sets at the threshold share one of the first shingles of any common order, as
+many as the threshold leaves room to miss. Documents of different groups that share such a shingle are
+all compared, crowded shingles in blocks. Common shingles come last in the order, by a sample; the sample
+has no say in what is found.
 
 Cases: null text is empty and equal to other empty texts; repeated ids are one document; a null doc_id
 is left alone; an empty table gives an empty result; columns pass through.
@@ -16,13 +20,15 @@ is left alone; an empty table gives an empty result; columns pass through.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import each_slice, only_ids
+from lattica.llm.common import BROADCAST_IDS, each_slice, only_ids
 from lattica.llm.components import FEWER, components
 from lattica.llm.simhash import SEED, fingerprint, near_fingerprints, shingle_hashes, signed
 from lattica.session import checkpointed, free_shuffles, written
@@ -32,6 +38,10 @@ WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLE = 12, 3
 #: Documents in a bucket up to which all its pairs are tested.
 SMALL = 8
+#: Documents in a block of a crowded shingle; each two blocks are compared in one task.
+BLOCK = 256
+#: Documents from which common shingles are learnt, and how many of these are remembered.
+LEARN, COMMON = 4000, 65_536
 
 
 def multipliers(tables: int) -> np.ndarray:
@@ -50,8 +60,33 @@ def sampled_prints(hashes: np.ndarray, factors: np.ndarray, sample: int = SAMPLE
     return np.packbits(bits * 2 > sample, axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, whole (fingerprint), keys (sampled fingerprints), shingles (sorted 32-bit hashes)."""
+def common_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted hashes) that several documents of a sample have, and how many. Orders shingles only."""
+
+    def make():
+        return lambda texts: [(np.unique(shingle_hashes(t, words)).view(np.int64),) for t in texts]
+
+    some = docs.where(F.col("doc_id").isNotNull()).sample(min(1.0, LEARN / max(1, docs.count())), SEED)
+    counts = each_slice(some, make, "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "s").limit(COMMON).collect()
+    shingles, n = np.array([r.s for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of ``own`` (sorted), rarest first, of which any set that is similar enough has one."""
+    first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    shingles, n = common
+    if not len(own) or not len(shingles):
+        return own[:first]
+    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+    return own[np.argsort(np.where(shingles[at] == own, n[at], 0), kind="stable")[:first]]
+
+
+def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample: int = SAMPLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, whole (fingerprint), keys (sampled fingerprints), shingles (sorted 32-bit hashes), first (prefix)."""
+    common = common_shingles(docs, words)
 
     def make():
         factors = multipliers(tables)
@@ -62,12 +97,12 @@ def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample:
                 hashes = shingle_hashes(t, words)
                 own = np.unique(hashes)
                 short = np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), short))
+                out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), short, prefix(own, common, similarity).view(np.int64)))
             return out
 
         return of
 
-    return each_slice(docs.where(F.col("doc_id").isNotNull()), make, "whole long, keys array<long>, shingles array<int>")
+    return each_slice(docs.where(F.col("doc_id").isNotNull()), make, "whole long, keys array<long>, shingles array<int>, first array<long>")
 
 
 def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
@@ -90,10 +125,11 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, t
     """Tested links (a, b) between near copies, few enough a document.
 
     In round d a bucket is given by d fingerprints. What a crowded bucket's least document doesn't
-    settle goes to the next round, with finer buckets, until none is left.
+    settle goes to the next round, with finer buckets, until none is left. Links between the groups so
+    found come from the exact join, so groups are whole.
     """
     spark = docs.sparkSession
-    sketched = written(sketches(docs, words, tables), "sketches")
+    sketched = written(sketches(docs, words, tables, similarity=similarity), "sketches")
     whole = checkpointed(sketched.groupBy("whole").agg(F.min("doc_id").alias("least")))
     near = near_fingerprints(whole.select(F.col("whole").alias("fp")))
     first = near.join(whole.select(F.col("whole").alias("a"), F.col("least").alias("la")), "a").join(whole.select(F.col("whole").alias("b"), F.col("least").alias("lb")), "b")
@@ -108,10 +144,89 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, t
         del members
         free_shuffles(spark)
         if rest.isEmpty():
-            return _union(found).distinct()
+            break
         ids = checkpointed(rest.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
         members = rest.join(only_ids(sketched.select("doc_id", "keys"), ids, keep=True), "doc_id")
         depth += 1
+    del new, rest
+    known = checkpointed(_union(found).distinct(), FEWER)
+    del found
+    return known.unionByName(_missing(sketched, known, _union(tested), small, similarity))
+
+
+def _missing(sketched: DataFrame, known: DataFrame, tested: DataFrame, small: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all groups of ``known`` links which have near copies in each other.
+
+    Documents meet at the shingles of their prefixes. A shingle within one group is left at once.
+    """
+    roots = checkpointed(components(known), FEWER)
+    rooted = sketched.select("doc_id", "first", F.size("shingles").alias("n")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = rooted.select(F.explode("first").alias("s"), "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    by_shingle = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("docs"))
+    mixed = checkpointed(by_shingle.where(F.col("lo") != F.col("hi")).select("s", "docs"), FEWER)
+    met = checkpointed(placed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "s"))
+    few, crowded = met.where(F.col("docs") <= small), met.where(F.col("docs") > small)
+    one, two = (few.select("s", F.col("doc_id").alias(i), F.col("root").alias(f"root_{i}"), F.col("n").alias(f"n_{i}")) for i in "ab")
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    pairs = one.join(two, "s").where(apart & sized).select("a", "b").distinct()
+    new = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"), FEWER)
+    links = checkpointed(similar(new, sketched, similarity), FEWER)
+    return links if crowded.isEmpty() else links.unionByName(_among_crowds(crowded, sketched, similarity)).distinct()
+
+
+def _among_crowds(crowded: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that span what is similar within each shingle's documents, of which each pair is compared.
+
+    A shingle's documents are dealt to blocks, and every two blocks meet in one task.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, roots = rows.column("doc_id").to_numpy(), rows.column("root").to_numpy()
+        links = spanning(ids, roots, [np.asarray(x.values) for x in rows.column("shingles")], similarity)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    ids = checkpointed(crowded.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
+    sets = only_ids(sketched.select("doc_id", "shingles"), ids, keep=True)
+    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+    own = crowded.select("s", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
+    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sided = meets.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root")
+    out = sided.join(sets, "doc_id").groupBy("s", "i", "j").applyInArrow(compare, "a long, b long")
+    return checkpointed(out.distinct(), FEWER)
+
+
+def spanning(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of ``ids`` with similar enough sets that connect all which such pairs between roots connect."""
+    sizes = np.array([len(x) for x in sets])
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), sizes), times > 1
+    rank = np.cumsum(shared) - 1
+    owner, column = owner[shared[place]], rank[place[shared[place]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    width = 4096
+    for low in range(0, int(shared.sum()), width):
+        begin, end = np.searchsorted(column, [low, low + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[begin:end], column[begin:end] - low] = 1
+        common += has @ has.T
+    near = (common >= similarity * (sizes[:, None] + sizes[None, :] - common)) & (roots[:, None] != roots[None, :])
+    head = {int(r): int(r) for r in roots}
+
+    def find(r: int) -> int:
+        while head[r] != r:
+            head[r] = r = head[head[r]]
+        return r
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        p, q = find(int(roots[x])), find(int(roots[y]))
+        if p != q:
+            head[max(p, q)] = min(p, q)
+            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    return out
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

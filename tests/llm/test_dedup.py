@@ -174,6 +174,20 @@ def test_near_copies(spark):
     assert near_dedup.keep_representatives(table(spark, [])).count() == 0
 
 
+def test_star_of_near_copies(spark):
+    """Copies that are near the original only, which has the largest id: all are one group."""
+    rng = random.Random(12)
+    base, places = [f"w{k}" for k in range(200)], set()
+    while len(places) < 300:
+        places.add(tuple(sorted(rng.sample(range(4, 196, 5), 4))))
+    rows = [(i, " ".join(f"c{i}x{k}" if k in at else w for k, w in enumerate(base))) for i, at in enumerate(sorted(places))]
+    rows.append((1000, " ".join(base)))
+    sets = [shingle_set(t) for _, t in rows]
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    assert all(near(x, sets[-1]) for x in sets) and not any(near(x, y) for k, x in enumerate(sets[:-1]) for y in sets[:k])
+    assert {(r.node, r.root) for r in near_dedup.groups(table(spark, rows)).collect()} == {(i, 0) for i, _ in rows}
+
+
 # -- repeated strings -------------------------------------------------------------------------
 
 
