@@ -188,6 +188,21 @@ def test_star_of_near_copies(spark):
     assert {(r.node, r.root) for r in near_dedup.groups(table(spark, rows)).collect()} == {(i, 0) for i, _ in rows}
 
 
+def test_pairs_behind_a_frequent_passage(spark):
+    """Documents that share most of their words, each with one true near copy."""
+    rng = random.Random(21)
+    passage, rows = [f"p{k}" for k in range(400)], []
+    for g in range(200):
+        own = [f"d{g}x{k}" for k in range(120)]
+        rows.append((2 * g, " ".join(passage + own)))
+        rows.append((2 * g + 1, " ".join(passage + [f"e{g}x{k}" if k < 53 else w for k, w in enumerate(own)])))
+    rng.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t in rows}
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    assert all(near(sets[i], sets[i + 1]) for i in range(0, 400, 2)) and not near(sets[0], sets[2])
+    assert {(r.node, r.root) for r in near_dedup.groups(table(spark, rows)).collect()} == {(i, i - i % 2) for i in range(400)}
+
+
 # -- repeated strings -------------------------------------------------------------------------
 
 
