@@ -20,7 +20,11 @@ def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """edge and sedge: sets; w: counted; u: undirected a < b; nseed: customer bucket to part."""
+    """edge and sedge: sets; w: counted; u: undirected a < b; seed: customer to part; nseed: customer bucket to part."""
+    if name == "seed":
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("a"))
+        lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("c"))
+        return orders.join(lines, "o_orderkey").select("a", "c").distinct()
     if name == "nseed":
         orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("a"))
         lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 1).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("c"))

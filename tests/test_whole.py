@@ -1,0 +1,71 @@
+"""The queries over whole edge sets against brute force on a small fixture."""
+
+import random
+from collections import Counter
+
+import __spark_entry__ as entry
+import pytest
+
+
+@pytest.fixture(scope="module")
+def fixture(spark, tmp_path_factory):
+    rng, folder = random.Random(5), tmp_path_factory.mktemp("whole")
+    # Parts rise within an order, so paths are short; the operators' own tests have the cycles.
+    parts = [sorted(rng.randrange(60, 72) for _ in range(rng.randint(2, 4))) for _ in range(14)]
+    lines = [(o, k, p, rng.choice([1, 20, 49, 50])) for o, ps in enumerate(parts) for k, p in enumerate(ps, 1)]
+    orders = [(o, 100 + o % 3) for o in range(14)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity int").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    return str(folder), lines, dict(orders)
+
+
+def expected(lines, orders):
+    at = {(o, k): (p, q) for o, k, p, q in lines}
+    raw = [(p, at[o, k + 1][0], q) for (o, k), (p, q) in at.items() if (o, k + 1) in at]
+    e = {(a, b) for a, b, _ in raw}
+    u = {(min(x), max(x)) for x in e if x[0] != x[1]}
+    step = lambda r: {(a, d) for a, b in r for c, d in e if b == c}
+
+    def grown(r):
+        while not (more := step(r)) <= r:
+            r = r | more
+        return r
+
+    odd = set(e)
+    while not (more := step(step(odd))) <= odd:
+        odd |= more
+    tr, seed = grown(e), {(orders[o], p) for o, _, p, _ in lines}
+    outs, ins = Counter(a for a, _ in e), Counter(b for _, b in e)
+    cheap, least = {}, {}
+    for a, b, q in raw:
+        cheap[a, b] = min(q, cheap.get((a, b), q))
+    for (a, b), q in cheap.items():
+        for (c, d), r in cheap.items():
+            if b == c:
+                least[a, d] = min(q + r, least.get((a, d), q + r))
+    two = {(a, d) for a, b in u for c, d in u if b == c}
+    wedge = lambda rows: [(a, b, d, n) for (a, b, d), n in Counter((a, b, d) for a, b in rows for c, d in rows if b == c).items()]
+    return {
+        "nested_groups_whole": [(a, ",".join(str(d) for d in sorted(d for c, d in e if c == a))) for a in outs],
+        "triangle_hypercube_whole": [(a, b, d) for a, b in e for c, d in e if b == c and (a, d) in e],
+        "full_outer_whole": [(k, outs[k], ins[k], k in outs, k in ins) for k in outs.keys() | ins.keys()],
+        "outer_nway_whole": [(k, *(sum(a == k and b % 3 == i for a, b in e) for i in range(3))) for k in outs],
+        "min_plus_whole": [(*k, n) for k, n in least.items()],
+        "datalog_negation_whole": two - u,
+        "datalog_function_whole": [(a, c, a + c) for a, c in two if (a + c) % 2 == 0],
+        "datalog_mutual_whole": [(*x, "odd") for x in odd],
+        **{f"{n}_whole": tr for n in ("datalog_program", "closure", "closure_lazy", "closure_adaptive", "closure_right", "closure_reversed", "closure_doubling")},
+        **{f"{n}_whole": grown(seed) for n in ("labelled_reach", "labelled_reach_adaptive")},
+        "min_reachable_whole": [(a, min(d for c, d in tr if c == a)) for a in outs],
+        "ivm_wedges_whole": wedge(list(e)),
+        "ivm_batches_whole": wedge([(a, b) for a, b, _ in raw]),
+    }
+
+
+@pytest.mark.parametrize("name", entry.catalog.WHOLE)
+def test_whole_query(spark, fixture, name):
+    folder, lines, orders = fixture
+    want = expected(lines, orders)
+    assert set(want) == set(entry.catalog.WHOLE) <= set(entry.queries())
+    got = entry.queries()[name](spark, folder).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want[name])))
