@@ -7,25 +7,25 @@ documents within two bits, through anchors, and from fingerprints of small min-w
 shingles, of which near copies share most: a table's samples agree for half of the pairs at 0.8, so
 one of the tables finds a pair with a chance of over 0.999.
 
-Those tables only find most links cheaply. A bucket of up to SMALL documents is compared in full there; a
-larger one through its least document, and those that differ from it go on to finer buckets. An exact
-join decides the rest: two sets at the threshold share one of the first shingles of any common order, as
-many as the threshold leaves room to miss. Documents of different groups that share such a shingle are
-all compared, crowded shingles in blocks. Common shingles come last in the order, by a sample; the sample
-has no say in what is found.
-
-Cases: null text is empty and equal to other empty texts; repeated ids are one document; a null doc_id
-is left alone; an empty table gives an empty result; columns pass through.
+Those tables only find most links cheaply: whoever shares a table's bucket is tested against the bucket's
+least document. An exact join decides the rest: two sets at the threshold share one of the first shingles
+of any common order, as many as the threshold leaves room to miss. Documents of different groups that
+share such a shingle are compared: in pairs where they are few, else by the same join among themselves,
+in the order of how frequent shingles are among just them. Common shingles come last in the order, by a
+sample; the sample has no say in what is found.
+
+Cases: null text is empty and equal to other texts without words; rows with one id are one document, near
+to whatever one of them is near to; a null doc_id is left alone; texts of any length are read whole; an empty table
+gives an empty result; columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import BROADCAST_IDS, each_slice, only_ids
@@ -36,12 +36,12 @@ from lattica.session import checkpointed, free_shuffles, written
 WORDS, SIMILARITY = 5, 0.8
 #: Sampled fingerprints a document, and shingles in a sample.
 TABLES, SAMPLE = 12, 3
-#: Documents in a bucket up to which all its pairs are tested.
+#: Documents that share a shingle up to which their pairs are joined; more are compared in one task a block.
 SMALL = 8
-#: Documents in a block of a crowded shingle; each two blocks are compared in one task.
-BLOCK = 256
+#: Shingles in a block of a crowded shingle's documents; each two blocks are compared in one task.
+BLOCK = 1_000_000
 #: Documents from which common shingles are learnt, and how many of these are remembered.
-LEARN, COMMON = 4000, 65_536
+LEARN, COMMON = 8000, 131_072
 
 
 def multipliers(tables: int) -> np.ndarray:
@@ -74,18 +74,29 @@ def common_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np
     return shingles[order], n[order]
 
 
+#: What documents without words share in place of a shingle.
+NOTHING = np.zeros(1, np.uint64)
+
+
 def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
     """The first shingles of ``own`` (sorted), rarest first, of which any set that is similar enough has one."""
-    first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+    if not len(own):
+        return NOTHING
+    first = room(len(own), similarity)
     shingles, n = common
-    if not len(own) or not len(shingles):
+    if not len(shingles):
         return own[:first]
     at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
     return own[np.argsort(np.where(shingles[at] == own, n[at], 0), kind="stable")[:first]]
 
 
+def room(size: int, similarity: float) -> int:
+    """Shingles from the first on, of a set of ``size``, one of which a similar enough set must have."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
 def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample: int = SAMPLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, whole (fingerprint), keys (sampled fingerprints), shingles (sorted 32-bit hashes), first (prefix)."""
+    """doc_id, whole (fingerprint), keys (sampled fingerprints), n and shingles (sorted 32-bit hashes), first (prefix)."""
     common = common_shingles(docs, words)
 
     def make():
@@ -97,12 +108,12 @@ def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample:
                 hashes = shingle_hashes(t, words)
                 own = np.unique(hashes)
                 short = np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), short, prefix(own, common, similarity).view(np.int64)))
+                out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), len(own), short, prefix(own, common, similarity).view(np.int64)))
             return out
 
         return of
 
-    return each_slice(docs.where(F.col("doc_id").isNotNull()), make, "whole long, keys array<long>, shingles array<int>, first array<long>")
+    return each_slice(docs.where(F.col("doc_id").isNotNull()), make, "whole long, keys array<long>, n long, shingles array<int>, first array<long>")
 
 
 def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
@@ -116,69 +127,68 @@ def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFra
     return both.where((common >= similarity * union) | (union == 0)).select("a", "b")
 
 
-def _joint_key(table: Column, depth: int, tables: int) -> Column:
-    """A hash of ``depth`` sampled fingerprints from the table's own one on, around the end."""
-    return F.xxhash64(*[F.element_at("keys", F.pmod(table + i, F.lit(tables)) + 1) for i in range(depth)])
-
-
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, small: int = SMALL) -> DataFrame:
-    """Tested links (a, b) between near copies, few enough a document.
-
-    In round d a bucket is given by d fingerprints. What a crowded bucket's least document doesn't
-    settle goes to the next round, with finer buckets, until none is left. Links between the groups so
-    found come from the exact join, so groups are whole.
-    """
-    spark = docs.sparkSession
-    sketched = written(sketches(docs, words, tables, similarity=similarity), "sketches")
+def first_pairs(sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b) to test: of near fingerprints through anchors, and of each sample's bucket with its least document."""
     whole = checkpointed(sketched.groupBy("whole").agg(F.min("doc_id").alias("least")))
     near = near_fingerprints(whole.select(F.col("whole").alias("fp")))
-    first = near.join(whole.select(F.col("whole").alias("a"), F.col("least").alias("la")), "a").join(whole.select(F.col("whole").alias("b"), F.col("least").alias("lb")), "b")
-    same = sketched.select("whole", F.col("doc_id").alias("b")).join(whole, "whole").where(F.col("least") != F.col("b"))
-    pairs = checkpointed(first.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).unionByName(same.select(F.col("least").alias("a"), "b")).distinct(), FEWER)
-    del whole, near, first, same
-    found, tested = [checkpointed(similar(pairs, sketched, similarity), FEWER)], [pairs]
-    members, depth = sketched.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), "keys"), 1
-    while True:
-        new, rest = _round(members, depth, tables, small, sketched, similarity, found, tested)
-        tested.append(new)
-        del members
-        free_shuffles(spark)
-        if rest.isEmpty():
-            break
-        ids = checkpointed(rest.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
-        members = rest.join(only_ids(sketched.select("doc_id", "keys"), ids, keep=True), "doc_id")
-        depth += 1
-    del new, rest
-    known = checkpointed(_union(found).distinct(), FEWER)
-    del found
-    return known.unionByName(_missing(sketched, known, _union(tested), small, similarity))
-
-
-def _missing(sketched: DataFrame, known: DataFrame, tested: DataFrame, small: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join all groups of ``known`` links which have near copies in each other.
-
-    Documents meet at the shingles of their prefixes. A shingle within one group is left at once.
-    """
+    ends = near.join(whole.select(F.col("whole").alias("a"), F.col("least").alias("la")), "a").join(whole.select(F.col("whole").alias("b"), F.col("least").alias("lb")), "b")
+    across = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    buckets = F.transform(F.concat(F.array("whole"), "keys"), lambda key, table: F.xxhash64(table, key))
+    placed = sketched.select("doc_id", F.explode(buckets).alias("key"))
+    least = placed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "a")
+    within = placed.join(least, "key").where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b"))
+    return across.unionByName(within).distinct()
+
+
+def linked_groups(sketched: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+    """(node, root) of the groups that the links between near copies make, from durable sketches."""
+    spark = sketched.sparkSession
+    pairs = checkpointed(first_pairs(sketched), FEWER)
+    free_shuffles(spark)
+    known = checkpointed(similar(pairs, sketched, similarity), FEWER)
     roots = checkpointed(components(known), FEWER)
-    rooted = sketched.select("doc_id", "first", F.size("shingles").alias("n")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = rooted.select(F.explode("first").alias("s"), "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    by_shingle = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("docs"))
-    mixed = checkpointed(by_shingle.where(F.col("lo") != F.col("hi")).select("s", "docs"), FEWER)
-    met = checkpointed(placed.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, "s"))
-    few, crowded = met.where(F.col("docs") <= small), met.where(F.col("docs") > small)
-    one, two = (few.select("s", F.col("doc_id").alias(i), F.col("root").alias(f"root_{i}"), F.col("n").alias(f"n_{i}")) for i in "ab")
+    more = checkpointed(_missing(sketched, roots, pairs, small, similarity), FEWER)
+    del pairs, known
+    free_shuffles(spark)
+    if more.isEmpty():
+        return roots
+    # Links between groups join their roots; whoever has none yet is its own.
+    named = lambda i: roots.select(F.col("node").alias(i), F.col("root").alias(f"root_{i}"))
+    ends = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = checkpointed(components(ends), FEWER).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    before = roots.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
+    return before.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).distinct()
+
+
+def _missing(sketched: DataFrame, roots: DataFrame, tested: DataFrame, small: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join all groups (``roots``) which have near copies in each other.
+
+    Documents meet at the shingles of their prefixes. A shingle within one group is left at once, and so
+    is a pair if what follows its place in both prefixes is too little to reach the threshold.
+    """
+    rooted = sketched.select("doc_id", "first", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = rooted.select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.posexplode("first").alias("at", "s"))
+    by_shingle = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"))
+    mixed = checkpointed(by_shingle.where(F.col("lo") != F.col("hi")).select("s", "docs", "size", "who"), FEWER)
+    few, crowded = mixed.where(F.col("docs") <= small).select("s"), mixed.where(F.col("docs") > small)
+    met = checkpointed(placed.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "s"), FEWER)
+    one, two = (met.select("s", F.col("doc_id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("root", "n", "at")]) for i in "ab")
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
     sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    pairs = one.join(two, "s").where(apart & sized).select("a", "b").distinct()
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = left + F.least("at_a", "at_b") >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    pairs = one.join(two, "s").where(apart & sized & enough).select("a", "b").distinct()
     new = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"), FEWER)
-    links = checkpointed(similar(new, sketched, similarity), FEWER)
-    return links if crowded.isEmpty() else links.unionByName(_among_crowds(crowded, sketched, similarity)).distinct()
+    links = similar(new, sketched, similarity)
+    # Shingles that stand side by side have the same documents: one of them stands for all.
+    once = checkpointed(crowded.groupBy("docs", "size", "who").agg(F.min("s").alias("s")).select("s", "size"), FEWER)
+    return links if once.isEmpty() else links.unionByName(_among_crowds(placed, once, sketched, similarity)).distinct()
 
 
-def _among_crowds(crowded: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that span what is similar within each shingle's documents, of which each pair is compared.
+def _among_crowds(placed: DataFrame, crowds: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that span what is similar within each crowded shingle's documents.
 
-    A shingle's documents are dealt to blocks, and every two blocks meet in one task.
+    A shingle's documents are dealt to blocks of a bounded size, and every two blocks meet in one task.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
@@ -186,71 +196,59 @@ def _among_crowds(crowded: DataFrame, sketched: DataFrame, similarity: float) ->
         links = spanning(ids, roots, [np.asarray(x.values) for x in rows.column("shingles")], similarity)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    ids = checkpointed(crowded.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
+    dealt = placed.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_IDS else crowds, "s")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = checkpointed(dealt.select("s", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own")), FEWER)
+    ids = checkpointed(own.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
     sets = only_ids(sketched.select("doc_id", "shingles"), ids, keep=True)
-    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
-    own = crowded.select("s", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own"))
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sided = meets.select("s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "root")
-    out = sided.join(sets, "doc_id").groupBy("s", "i", "j").applyInArrow(compare, "a long, b long")
-    return checkpointed(out.distinct(), FEWER)
+    return sided.join(sets, "doc_id").groupBy("s", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def spanning(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of ``ids`` with similar enough sets that connect all which such pairs between roots connect."""
+    """Pairs of ``ids`` with similar enough sets that connect all which such pairs between roots connect.
+
+    Sets are taken by size. Each looks its prefix up, in the order of how many of these sets have a
+    shingle, and is compared with those found that are in other groups by then.
+    """
     sizes = np.array([len(x) for x in sets])
     values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, shared = np.repeat(np.arange(len(sets)), sizes), times > 1
-    rank = np.cumsum(shared) - 1
-    owner, column = owner[shared[place]], rank[place[shared[place]]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)))
-    width = 4096
-    for low in range(0, int(shared.sum()), width):
-        begin, end = np.searchsorted(column, [low, low + width])
-        has = np.zeros((len(sets), width), np.float32)
-        has[owner[begin:end], column[begin:end] - low] = 1
-        common += has @ has.T
-    near = (common >= similarity * (sizes[:, None] + sizes[None, :] - common)) & (roots[:, None] != roots[None, :])
-    head = {int(r): int(r) for r in roots}
-
-    def find(r: int) -> int:
-        while head[r] != r:
-            head[r] = r = head[head[r]]
-        return r
-
-    out = []
-    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        p, q = find(int(roots[x])), find(int(roots[y]))
-        if p != q:
-            head[max(p, q)] = min(p, q)
-            out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    place = place[np.lexsort((place, times[place], owner))]
+    end = np.cumsum(sizes)
+    start = end - sizes
+    alone = np.bincount(owner, times[place] == 1, len(sets)).astype(int)
+    group = roots.copy()
+    out: list[tuple[int, int]] = []
+    holds: dict[int, list[int]] = {}
+    mark = np.zeros(len(values), bool)
+    for x in np.argsort(sizes, kind="stable").tolist():
+        size = int(sizes[x])
+        keys = place[start[x] + alone[x] : start[x] + room(size, similarity)].tolist() if size else [-1]
+        lists = [holds.setdefault(k, []) for k in keys]
+        near = np.array(list(set().union(*lists)), np.int64)
+        near = np.sort(near[(sizes[near] >= similarity * size - 1e-9) & (group[near] != group[x])])
+        if len(near):
+            mark[place[start[x] : end[x]]] = True
+            for begin in range(0, len(near), 512):
+                some = near[begin : begin + 512]
+                first = np.cumsum(sizes[some]) - sizes[some]
+                flat = np.repeat(start[some] - first, sizes[some]) + np.arange(sizes[some].sum())
+                both = np.add.reduceat(mark[place[flat]], first, dtype=np.int64) if size else np.zeros(len(some), int)
+                for y in some[both >= similarity * (size + sizes[some] - both)].tolist():
+                    if group[x] != group[y]:
+                        group[group == group[y]] = group[x]
+                        out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+            mark[place[start[x] : end[x]]] = False
+        for at in lists:
+            at.append(x)
     return out
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _round(members: DataFrame, depth: int, tables: int, small: int, sketched: DataFrame, similarity: float, found: list[DataFrame], tested: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Test one round's candidates and add what passes to ``found``; (tested pairs, unsettled members)."""
-    keyed = members.select("doc_id", "table", _joint_key(F.col("table"), min(depth, tables), tables).alias("key"))
-    sizes = checkpointed(keyed.groupBy("table", "key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), FEWER)
-    placed = checkpointed(keyed.join(sizes, ["table", "key"]), FEWER)
-    few = placed.where(F.col("n") <= small)
-    among = few.select("table", "key", F.col("doc_id").alias("a")).join(few.select("table", "key", F.col("doc_id").alias("b")), ["table", "key"]).where(F.col("a") < F.col("b")).select("a", "b")
-    large = placed.where((F.col("n") > small) & (F.col("doc_id") != F.col("least")))
-    pairs = among.unionByName(large.select(F.col("least").alias("a"), F.col("doc_id").alias("b"))).distinct()
-    new = checkpointed(pairs.join(_union(tested), ["a", "b"], "left_anti"), FEWER)
-    found.append(checkpointed(similar(new, sketched, similarity), FEWER))
-    rest = large.join(_union(found).select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_anti")
-    return new, checkpointed(rest.select("doc_id", "table"), FEWER)
-
-
-def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, small: int = SMALL) -> DataFrame:
     """(node, root) for each document that has a near copy; root is the least id of its group."""
-    return components(checkpointed(links(docs, words, similarity), FEWER))
+    return linked_groups(written(sketches(docs, words, tables, similarity=similarity), "sketches"), similarity, small)
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
