@@ -82,6 +82,22 @@ def only_ids(docs: DataFrame, ids: DataFrame, keep: bool) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi" if keep else "left_anti")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """With the id this tells rows of different texts apart; null text is empty."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def only_rows(docs: DataFrame, rows: DataFrame, keep: bool) -> DataFrame:
+    """The rows of ``docs`` that are among ``rows`` (__id, __key: a row_key; without repeats), or are not.
+
+    A null id equals a null id, so each row gets what was decided for its own text. ``rows`` must be
+    durable: it is counted first, and broadcast only if it is small.
+    """
+    few = rows.count() <= BROADCAST_IDS
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["__id"]) & (row_key(docs) == rows["__key"])
+    return docs.join(F.broadcast(rows) if few else rows, same, "left_semi" if keep else "left_anti")
+
+
 Span = tuple[int, int, str]
 
 

@@ -1,16 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed of five words are joined through an index of the
-benchmark's seeds. Of each such pair the longest common passages are marked, longest first and without
-overlaps, by Karp-Rabin hashes whose window shrinks; a document that the marked passages of an item
-cover to COVERAGE holds it, in whatever order its parts stand.
-
-The benchmark is read in blocks of a bounded number of bytes. Each block's index is broadcast, and the
-documents are scanned once a block, so any benchmark fits. Nothing about documents is gathered.
-
-Cases: null text is empty; items of fewer words than a tile prove nothing and match nothing; items of
-fewer words than a seed are their own seed; repeated items are found each, repeated documents too; an empty table gives an empty
-result; other columns are ignored.
+Documents and benchmark items are joined on shared seeds: pieces of LEAST_TILE words, as short as the
+least tile. The places of an item that shared seeds cover bound what any tiling can cover, so pairs below
+COVERAGE by that bound are left without a loss. Of the others the longest common passages are marked,
+longest first and without overlaps, by Karp-Rabin hashes whose window shrinks; a document that the marked
+passages of an item cover to COVERAGE holds it, in whatever order its parts stand.
+
+The seeds of a benchmark of up to BROADCAST_BYTES are broadcast, and documents are scanned once. Those of
+a larger one meet the documents' seeds in a shuffle, and again documents are scanned once for seeds and
+once for the pairs found. Nothing about documents is gathered.
+
+Cases: null text is empty; items of fewer words than a tile are held where they occur as a whole; items
+without words match nothing; repeated items and repeated documents are found each; texts of any length are
+read whole; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SLICE, _arrow_schema, documents, id_and_text, only_ids
+from lattica.llm.common import SLICE, _arrow_schema, documents, id_and_text, only_rows, row_key
 from lattica.session import checkpointed, ship_package
 
-#: Words of a seed, least words of a tile, and share of an item that must be covered.
-SEED_WORDS, LEAST_TILE, COVERAGE = 5, 3, 0.7
-#: Bytes of benchmark text whose index is broadcast at a time.
-BLOCK_BYTES = 8 << 20
+#: Least words of a tile, which are a seed's words too, and share of an item that must be covered.
+LEAST_TILE, COVERAGE = 3, 0.7
+#: Bytes of benchmark text up to which its seeds are broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Places of items that seeds of some documents may hit before their shares are counted.
+HITS = 1 << 20
 #: Pairs of places of an item and of a document that may be compared at a time.
 PAIRS = 2 << 20
 #: Remembered words of a task.
@@ -141,90 +145,176 @@ def _runs_in(item: np.ndarray, doc: np.ndarray, free_item: np.ndarray, free_doc:
 
 
 class Index:
-    """The benchmark items of a block with their seeds in sorted order."""
+    """Benchmark items with their seeds in sorted order; places count through all items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], coverage: float = COVERAGE):
         known: dict[str, int] = {}
-        self.items = [(i, token_hashes(t or "", known)) for i, t in items]
-        self.items = [(i, t) for i, t in self.items if len(t) >= LEAST_TILE]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {min(SEED_WORDS, len(t)) for _, t in self.items}:
-            hashes, owners = [], []
-            for at, (_, t) in enumerate(self.items):
-                if min(SEED_WORDS, len(t)) == size:
-                    h = np.unique(rolling(t, size))
-                    hashes.append(h)
-                    owners.append(np.full(len(h), at))
-            h, o = np.concatenate(hashes), np.concatenate(owners)
-            order = np.argsort(h, kind="stable")
-            self.by_size[size] = h[order], o[order]
-
-    def candidates(self, doc: np.ndarray) -> list[int]:
-        found: set[int] = set()
-        for size, (h, owner) in self.by_size.items():
-            mine = rolling(doc, size)
-            at = np.searchsorted(h, mine)
-            at[at == len(h)] = 0
-            hits = np.unique(mine[h[at] == mine])
-            low, high = np.searchsorted(h, hits, "left"), np.searchsorted(h, hits, "right")
-            for s, e in zip(low.tolist(), high.tolist(), strict=True):
-                found.update(owner[s:e].tolist())
-        return sorted(found)
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows, streamed to the driver a bounded block at a time."""
-    held, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1]) + 64
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles, longest for each pair that reaches ``coverage``."""
-    schema = "doc_id long, item_id long, coverage double, n_tiles long, longest long"
-    arrow = _arrow_schema(docs.sparkSession, schema)
+        self.items = [(i, t) for i, t in ((i, token_hashes(t or "", known)) for i, t in items) if len(t)]
+        self.coverage = coverage
+        self.size = np.array([len(t) for _, t in self.items], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in {min(LEAST_TILE, n) for n in self.size.tolist()}:
+            chosen = [at for at, n in enumerate(self.size.tolist()) if min(LEAST_TILE, n) == width]
+            hashes = np.concatenate([rolling(self.items[at][1], width) for at in chosen])
+            places = np.concatenate([self.first[at] + np.arange(self.size[at] - width + 1) for at in chosen])
+            order = np.argsort(hashes, kind="stable")
+            different, begin = np.unique(hashes[order], return_index=True)
+            self.seeds[width] = different, np.r_[begin, len(hashes)], places[order]
+
+    def candidates(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(number of the document, number of the item) where shared seeds cover enough of the item."""
+        out = []
+        for width, (different, begin, places) in self.seeds.items():
+            hit_doc, hit_seed = [], []
+            for d, tokens in enumerate(docs):
+                mine = rolling(tokens, width)
+                at = np.searchsorted(different, mine)
+                at[at == len(different)] = 0
+                seeds = np.unique(at[different[at] == mine])
+                hit_doc.append(np.full(len(seeds), d))
+                hit_seed.append(seeds)
+            doc, seed = np.concatenate(hit_doc), np.concatenate(hit_seed)
+            count = begin[seed + 1] - begin[seed]
+            # Some documents at a time, whole ones: a document hits each place at most once.
+            ends, total, low = np.searchsorted(doc, np.arange(len(docs)), "right"), np.cumsum(count), 0
+            while low < len(doc):
+                reach = np.searchsorted(total, (total[low - 1] if low else 0) + HITS, "right")
+                high = max(ends[ends <= reach].max(initial=0), ends[doc[low]])
+                out += self._covered(doc[low:high], seed[low:high], count[low:high], begin, places, width)
+                low = high
+        return sorted(out)
+
+    def _covered(self, doc: np.ndarray, seed: np.ndarray, count: np.ndarray, begin: np.ndarray, places: np.ndarray, width: int) -> list[tuple[int, int]]:
+        at = np.repeat(begin[seed] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        whole = int(self.size.sum())
+        start = np.repeat(doc, count) * whole + places[at]
+        covered = np.unique((start[:, None] + np.arange(width)).ravel())
+        item = np.searchsorted(self.first, covered % whole, "right") - 1
+        pair, n = np.unique(covered // whole * len(self.items) + item, return_counts=True)
+        pair = pair[n >= self.coverage * self.size[pair % len(self.items)] - 1e-9]
+        return list(zip((pair // len(self.items)).tolist(), (pair % len(self.items)).tolist(), strict=True))
+
+
+def held(item: np.ndarray, doc: np.ndarray) -> tuple[float, int, int]:
+    """(share of the item that tiles cover, tiles, longest tile)."""
+    tiles = tile(item, doc, min(LEAST_TILE, len(item)))
+    sizes = [n for _, _, n in tiles]
+    return sum(sizes) / len(item), len(sizes), max(sizes, default=0)
+
+
+def benchmark_rows(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+_FOUND = "doc_id long, row_key long, item_id long, coverage double, n_tiles long, longest long"
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """As contaminated, with the row's key (see common.row_key)."""
+    items = benchmark_rows(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row_key(docs).alias("row_key"))
+    if (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) > broadcast_bytes:
+        return _leaks_by_shuffle(rows, items, coverage)
+    arrow = _arrow_schema(docs.sparkSession, _FOUND)
     ship_package(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    out: DataFrame | None = None
-
-    def scan(index) -> DataFrame:
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, int] = {}
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    found = []
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    part = batch.slice(at, SLICE)
-                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        doc = token_hashes(text, known)
-                        for i in index.value.candidates(doc):
-                            item_id, item = index.value.items[i]
-                            tiles = tile(item, doc)
-                            covered = sum(n for _, _, n in tiles) / len(item)
-                            if covered >= coverage:
-                                found.append((doc_id, item_id, covered, len(tiles), max(n for _, _, n in tiles)))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
-
-        return id_and_text(docs).mapInArrow(rows, schema)
-
-    for block in blocks(benchmark, block_bytes):
-        found = scan(context.broadcast(Index(block)))
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in items.collect()], coverage))  # bounded above
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                part = batch.slice(at, SLICE)
+                ids, keys = part.column(0).to_pylist(), part.column(2).to_pylist()
+                tokens = [token_hashes(t, known) for t in part.column(1).to_pylist()]
+                found = []
+                for d, i in index.value.candidates(tokens):
+                    item_id, item = index.value.items[i]
+                    covered, n, longest = held(item, tokens[d])
+                    if covered >= coverage:
+                        found.append((ids[d], keys[d], item_id, covered, n, longest))
+                if found:
+                    yield _batch(found, arrow)
+
+    return rows.mapInArrow(scan, _FOUND)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _seeds(rows: DataFrame, key: str, places: bool) -> DataFrame:
+    """(key, size, width, seed, places) for each different seed of each text: of an item, or of a document's all widths."""
+    schema = f"{key} long, size long, width int, seed long, places array<long>"
+    arrow = _arrow_schema(rows.sparkSession, schema)
+    ship_package(rows.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(known) > REMEMBERED:
+                    known.clear()
+                tokens = token_hashes(text, known)
+                out = []
+                for width in (min(LEAST_TILE, len(tokens)),) if places else range(1, LEAST_TILE + 1):
+                    seeds = rolling(tokens, width) if width else tokens
+                    if not places:
+                        out += [(k, len(tokens), width, s, []) for s in np.unique(seeds).view(np.int64).tolist()]
+                        continue
+                    order = np.argsort(seeds, kind="stable")
+                    edge = np.flatnonzero(np.r_[True, np.diff(seeds[order]) != 0, True]) if len(seeds) else np.zeros(1, int)
+                    out += [(k, len(tokens), width, int(seeds[order[a]].view(np.int64)), order[a:b].tolist()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                if out:
+                    yield _batch(out, arrow)
+
+    return rows.mapInArrow(cut, schema)
+
+
+def _leaks_by_shuffle(rows: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """Seeds of documents and items meet by hash; candidates then meet their texts. Equal texts are one key."""
+    numbered = checkpointed(items.groupBy("text").agg(F.collect_list("item_id").alias("ids")).select(F.xxhash64("text").alias("item"), "text", "ids"))
+    item_seeds = checkpointed(_seeds(numbered.select("item", "text"), "item", True))
+    widths = [r.width for r in item_seeds.select("width").distinct().collect()]
+    doc_seeds = _seeds(rows.select("row_key", "text").dropDuplicates(["row_key"]), "row_key", False).where(F.col("width").isin(widths)).select("row_key", "width", "seed")
+    met = doc_seeds.join(item_seeds, ["width", "seed"]).groupBy("row_key", "item", "size", "width").agg(F.flatten(F.collect_list("places")).alias("at"))
+    reached = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1)))))
+    pairs = checkpointed(met.where(reached >= F.lit(coverage) * F.col("size") - 1e-9).select("row_key", "item"))
+    both = rows.join(pairs, "row_key").join(numbered.select("item", F.col("text").alias("item_text"), "ids"), "item")
+    schema = _FOUND.replace("item_id long", "ids array<long>")
+    arrow = _arrow_schema(rows.sparkSession, schema)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                known: dict[str, int] = {}
+                found = []
+                for r in batch.slice(at, SLICE).to_pylist():
+                    covered, n, longest = held(token_hashes(r["item_text"], known), token_hashes(r["text"], known))
+                    if covered >= coverage:
+                        found.append((r["doc_id"], r["row_key"], r["ids"], covered, n, longest))
+                if found:
+                    yield _batch(found, arrow)
+
+    tested = both.select("doc_id", "row_key", "text", "item_text", "ids").mapInArrow(test, schema)
+    return tested.select("doc_id", "row_key", F.explode("ids").alias("item_id"), "coverage", "n_tiles", "longest")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles, longest for each pair that reaches ``coverage``."""
+    return leaks(docs, benchmark, coverage, broadcast_bytes).drop("row_key")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark, coverage).where(F.col("doc_id").isNotNull())
-    return only_ids(docs, checkpointed(found.select(F.col("doc_id").alias("__id")).distinct()), keep=False)
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Items of fewer words than a tile take no document away: a single word would take most.
+    """
+    long = benchmark.where(F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"(?U)\w+")) >= LEAST_TILE)
+    found = leaks(docs, long, coverage).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    return only_rows(docs, checkpointed(found), keep=False)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
