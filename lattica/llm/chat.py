@@ -6,8 +6,8 @@ output doesn't begin with the previous one, the template rewrites history; such
 flagged, and spans then start where the two outputs part.
 
 Cases: rows of a conversation are taken by turn, then role, then text; a null turn comes first; null
-roles and texts are empty; repeated rows are turns of their own; an empty table gives an empty
-result; other columns are ignored; a null conv_id is a conversation.
+roles and texts are empty; repeated rows are turns of their own; texts of any length are formatted whole; an
+empty table gives an empty result; other columns are ignored; a null conv_id is a conversation.
 """
 
 from __future__ import annotations
@@ -135,16 +135,16 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text = row["formatted"]
-                turns = read_back(text)
-                loss = "".join(unescape(text[s:e]) for s, e in zip(row["loss_starts"], row["loss_ends"], strict=True))
-                whole = hashlib.sha256()
-                for role, said in turns:
-                    whole.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                out.append((row["conv_id"], len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text), bool(row["rewritten"])))
-            if out:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for row in batch.slice(at, 64).to_pylist():
+                    text = row["formatted"]
+                    turns = read_back(text)
+                    loss = "".join(unescape(text[s:e]) for s, e in zip(row["loss_starts"], row["loss_ends"], strict=True))
+                    whole = hashlib.sha256()
+                    for role, said in turns:
+                        whole.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                    out.append((row["conv_id"], len(turns), whole.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text), bool(row["rewritten"])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends", "rewritten").mapInArrow(read, schema)

@@ -9,8 +9,10 @@ Rates above CHUNK are split into equal parts with numbers of their own, whose su
 again; so the distribution's table stays short for any rate and nothing underflows.
 
 Cases: a null source is a source; sources without a weight, or with a weight of zero or less, vanish;
-equal ids get equal counts; null text passes through; an empty table gives an empty result; other
-columns pass through.
+equal ids get equal counts, so repeated rows are repeated alike; rows without an id are told apart by their
+texts; null and very long texts pass through; an empty table gives an empty result; other columns pass
+through, whatever their names: where the table has a copy or shuffle_key of its own, the new columns are
+called mix_copy and mix_shuffle_key, with more underscores in front until they are new.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def poisson_table(mean: Column, entries: int = ENTRIES) -> Column:
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, power: float = POWER) -> DataFrame:
     """__source, __n, __rate for each source; the rates aim at ``epochs`` times the rows of all sources."""
-    sizes = docs.groupBy(F.col("source").cast("string").alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = docs.select(F.col("source").cast("string").alias("__source")).groupBy("__source").agg(F.count(F.lit(1)).alias("__n"))
     if weights is None:
         weighted = sizes.withColumn("__w", F.pow(F.col("__n").cast("double"), F.lit(power)))
     else:
@@ -59,28 +61,42 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, ep
     return weighted.crossJoin(whole).select("__source", "__n", (F.lit(float(epochs)) * F.col("__sum_n") * F.col("__w") / F.col("__sum_w") / F.col("__n")).alias("__rate"))
 
 
+def _new_name(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    if name in taken:
+        name = f"mix_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, seed: int = SEED, power: float = POWER) -> DataFrame:
     """The columns of ``docs`` with copy (from 1) and shuffle_key, one row a repetition, shuffled."""
+    names = docs.columns
+    copy_name, key_name = (_new_name(n, names) for n in ("copy", "shuffle_key"))
+    own_names = [f"__{i}" for i in range(len(names))]
+    at = {n.lower(): o for n, o in zip(names, own_names, strict=True)}
+    source, doc_id = F.col(at["source"]).cast("string"), F.col(at["doc_id"])
+    text = F.coalesce(F.col(at["text"]).cast("string"), F.lit("")) if "text" in at else F.lit("")
     parts = F.greatest(F.lit(1), F.ceil(F.col("__rate") / CHUNK)).cast("int")
     table = rates(docs, weights, epochs, power).withColumn("__parts", parts).withColumn("__cdf", poisson_table(F.col("__rate") / F.col("__parts"))).select("__source", "__parts", "__cdf")
     known = table.limit(BROADCAST_SOURCES + 1).collect()
-    own = F.col("source").cast("string")
+    rows = docs.toDF(*own_names)  # no name of the table's meets one of those below
     if len(known) <= BROADCAST_SOURCES:  # a bounded number of short rows
         small = docs.sparkSession.createDataFrame(known, table.schema)
-        rated = docs.join(F.broadcast(small), own.eqNullSafe(F.col("__source")))
+        rated = rows.join(F.broadcast(small), source.eqNullSafe(F.col("__source")))
     else:  # a hot source is spread over SALTS reducers
         spread = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("__mine", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        rated = dealt.join(spread, own.eqNullSafe(F.col("__source")) & (F.col("__mine") == F.col("__salt"))).drop("__salt", "__mine")
-    row_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+        dealt = rows.withColumn("__mine", F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)).cast("int"))
+        rated = dealt.join(spread, source.eqNullSafe(F.col("__source")) & (F.col("__mine") == F.col("__salt")))
+    row_id = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.xxhash64(text).cast("string")))
     draw = lambda j: F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), row_id, j.cast("string")))).cast("int")
     times = F.when(F.col("__parts") == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("__parts") - 1), F.lit(0), lambda n, j: n + draw(j)))
     counted = rated.withColumn("__times", times).where(F.col("__times") > 0)
     repeated = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), row_id, F.col("__copy").cast("string")))
-    columns = [docs[c] for c in docs.columns if c not in ("copy", "shuffle_key")]
-    out = repeated.select(*columns, F.col("__copy").cast("long").alias("copy"), key.alias("shuffle_key"))
-    return out.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    out = repeated.select(*own_names, F.col("__copy").cast("long").alias("__number"), key.alias("__key"))
+    return out.repartition(F.col("__key")).sortWithinPartitions("__key").toDF(*names, copy_name, key_name)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

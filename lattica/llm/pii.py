@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -288,6 +290,24 @@ def _plausible(kind: str, word: bytes) -> bool:
     return {"email": b"@" in word[1:-1], "ip": word.count(b".") == 3 and digits >= 4, "card": 13 <= digits <= 19, "phone": 7 <= digits <= 15}[kind]
 
 
+class _Places:
+    """Code points of one text's bytes, and which of them its exact spans leave free."""
+
+    def __init__(self, data: bytes, spans: list[Span]):
+        raw = np.frombuffer(data, np.uint8)
+        self.points = None if data.isascii() else np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+        spans = sorted(spans)
+        self.starts = [s for s, _, _ in spans]
+        self.ends = list(accumulate((e for _, e, _ in spans), max))
+
+    def point(self, byte: int) -> int:
+        return byte if self.points is None else int(self.points[byte])
+
+    def free(self, start: int, stop: int) -> bool:
+        before = bisect_left(self.starts, stop)
+        return not before or self.ends[before - 1] <= start
+
+
 def find(texts: list[str], decoder: Decoder) -> list[list[Span]]:
     """Spans of each text in code points: exact ones, and the field's that overlap none of them."""
     lines, owner = [], []
@@ -305,6 +325,7 @@ def find(texts: list[str], decoder: Decoder) -> list[list[Span]]:
         numbered.append(flat[at : at + len(ws)])
         at += len(ws)
     out = [exact_forms(t) for t in texts]
+    places_of: dict[int, _Places] = {}
     for i, (data, begin, shaped), labels in zip(owner, lines, decoder.decode(numbered), strict=True):
         if not labels.any():
             continue
@@ -324,9 +345,10 @@ def find(texts: list[str], decoder: Decoder) -> list[list[Span]]:
                 s += 1
             if not _plausible(kind, data[s:e]):
                 continue
-            start = len(data[:s].decode("utf-8", "surrogatepass"))
-            stop = start + len(data[s:e].decode("utf-8", "surrogatepass"))
-            if all(stop <= x or start >= y for x, y, k in out[i] if k in BASE):
+            if i not in places_of:
+                places_of[i] = _Places(data, out[i])
+            start, stop = places_of[i].point(s), places_of[i].point(e)
+            if places_of[i].free(start, stop):
                 out[i].append((start, stop, f"crf_{kind}"))
     return out
 

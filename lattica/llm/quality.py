@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SLICE, _arrow_schema, documents
+from lattica.llm.common import SLICE, _arrow_schema, documents, row_key
 from lattica.session import ship_package
 
 #: Rows with labels, rows without, and words of the vocabulary that training uses at most.
@@ -243,7 +243,7 @@ def train(sample: list[dict], rounds: int = ROUNDS, sure: float = SURE) -> Model
 
 def _inputs(docs: DataFrame) -> list[Column]:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return [F.col("doc_id").cast("long").alias("doc_id"), text, *[F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")]]
+    return [F.col("doc_id").cast("long").alias("doc_id"), text, row_key(docs).alias("row_key"), *[F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")]]
 
 
 def _share(column: Column) -> Column:
@@ -280,8 +280,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, quality_score, toxic_score and keep for each row."""
-    schema = "doc_id long, quality_score double, toxic_score double, keep boolean"
+    """doc_id, row_key, quality_score, toxic_score and keep for each row."""
+    schema = "doc_id long, row_key long, quality_score double, toxic_score double, keep boolean"
     arrow = _arrow_schema(docs.sparkSession, schema)
     ship_package(docs.sparkSession)
     zeros = np.zeros(len(model.words) + 1)
@@ -315,14 +315,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 none = [None] * len(part)
                 q, x = p.get("quality", none), p.get("toxic", none)
                 keep = [(a is None or a >= LEAST_QUALITY) and (b is None or b < MOST_TOXIC) for a, b in zip(q, x, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in part], pa.int64()), pa.array(list(q), pa.float64()), pa.array(list(x), pa.float64()), pa.array([bool(k) for k in keep])], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in part], pa.int64()), pa.array([r["row_key"] for r in part], pa.int64()), pa.array(list(q), pa.float64()), pa.array(list(x), pa.float64()), pa.array([bool(k) for k in keep])], schema=arrow)
 
     return docs.select(*_inputs(docs)).mapInArrow(rows, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scored_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(training_sample(docs, labels)))
 
 
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return scored_rows(docs, labels).drop("row_key")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,14 +2,18 @@
 
 Pre-tokens that a task has not met yet are held together as one flat array of symbols. In each round
 every pre-token finds its own lowest-ranked adjacent pair, all of them are merged at once, and merged
-symbols are squeezed out; what survives when no pair has a rank is the number of tokens.
+symbols are squeezed out; what survives when no pair has a rank is the number of tokens. Pre-tokens that
+are not done after ROUNDS rounds are long: they go on together, rank by rank, and only the pairs beside a
+merged one are ranked anew, so a word of any length takes n log n steps.
 
 Cases: null text is empty and has no tokens; special strings count one token each, as the library
-takes them by default; an empty table gives an empty result; other columns are ignored.
+takes them by default; repeated rows are counted each; texts and words of any length are counted whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -25,6 +29,8 @@ LIMIT = 2048
 #: Words whose counts a task keeps; a fuller memory starts anew.
 REMEMBERED = 400_000
 TOKENIZER = "word_bpe_49k.json"
+#: Rounds over all symbols before the rest is merged through its ranks.
+ROUNDS = 48
 
 #: White space as the tokenizer's own patterns read it, and its pre-token pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -74,7 +80,9 @@ class WordBpe:
         sym[ends] = self.last[flat[ends]]
         out = size.copy()
         none = len(self.keys)
-        while len(sym) > 1:
+        for _ in range(ROUNDS):
+            if len(sym) < 2:
+                return out
             key = sym[:-1] * self.base + sym[1:]
             at = np.searchsorted(self.keys, key)
             at[at == none] = 0
@@ -85,7 +93,7 @@ class WordBpe:
             best = np.repeat(least, np.diff(np.r_[begin, len(sym)]))[:-1]
             hit = (rank == best) & (rank < none)
             if not hit.any():
-                break
+                return out
             # Of overlapping occurrences (a a a) every second one counts, from the left.
             chain = hit & np.r_[False, hit[:-1]]
             place = np.arange(len(hit))
@@ -99,8 +107,72 @@ class WordBpe:
             out -= np.bincount(owner[where], minlength=len(out))
             stay &= alive
             sym, owner = sym[stay], owner[stay]
+        self._finish(sym, owner, out)
         return out
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.base + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, at, -1)
+
+    def _finish(self, sym: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        """Merge what is left, all pre-tokens together, in the order of ranks; ``out`` gets the final counts.
+
+        Symbols form linked lists. A pair is known by its place among the sorted keys; pairs that
+        changed since they were listed are passed over.
+        """
+        n = len(sym)
+        if n < 2:
+            return
+        same = owner[1:] == owner[:-1]
+        after = np.r_[np.where(same, np.arange(1, n), -1), -1]
+        before = np.r_[-1, np.where(same, np.arange(n - 1), -1)]
+        alive, flag = np.ones(n, bool), np.zeros(n + 1, bool)  # the last flag stands for no symbol
+        pair = np.full(n, -1, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def listed(places: np.ndarray) -> None:
+            has = after[places] >= 0
+            pair[places[~has]] = -1
+            places = places[has]
+            found = self._ranks(sym[places], sym[after[places]])
+            pair[places] = found
+            places, found = places[found >= 0], found[found >= 0]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            edge = np.flatnonzero(np.r_[True, found[1:] != found[:-1], True]).tolist() if len(found) else [0]
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                rank = int(self.ranks[found[a]])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(places[a:b])
+
+        listed(np.arange(n))
+        while heap:
+            rank = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[alive[places] & (pair[places] >= 0)]
+            places = places[self.ranks[pair[places]] == rank]
+            if not len(places):
+                continue
+            flag[places] = True
+            follows = flag[before[places]]
+            flag[places] = False
+            at = np.arange(len(places))
+            places = places[(at - np.maximum.accumulate(np.where(follows, 0, at))) % 2 == 0]
+            gone = after[places]
+            sym[places] = self.made[rank]
+            alive[gone] = False
+            behind = after[gone]
+            after[places] = behind
+            before[behind[behind >= 0]] = places[behind >= 0]
+            left = before[places]
+            listed(np.unique(np.r_[places, left[left >= 0]]))
+        out -= np.bincount(owner[~alive], minlength=len(out))
+
     def learn(self, chunks: list[str]) -> None:
         """Counts of chunks without white space; pre-tokens not met before are merged in one batch."""
         parts = [_PRE.findall(c) for c in chunks]

@@ -42,11 +42,24 @@ def test_exact_edges(spark):
     got = exact_dedup.exact_dedup(table(spark, rows)).collect()
     assert len(got) == 5 and {r.group_size for r in got if r.keep_id == 1} == {3}
     kept = [tuple(r)[:2] for r in exact_dedup.keep_one(table(spark, rows)).collect()]
-    assert sorted(kept, key=str) == sorted([(1, "x"), (None, "x"), (None, "y"), (2, "y2")], key=str)
+    assert sorted(kept, key=str) == sorted([(1, "x"), (None, "y"), (2, "y2")], key=str)
     assert exact_dedup.keep_one(table(spark, [])).count() == 0
     assert exact_dedup.keep_one(table(spark, rows)).columns == table(spark, rows).columns
 
 
+def test_each_row_gets_its_own_decision(spark):
+    rows = [(5, "x"), (9, "x"), (5, "only here"), (None, None), (None, ""), (7, "q"), (7, "Q"), (3, "q")]
+    kept = [tuple(r)[:2] for r in exact_dedup.keep_one(table(spark, rows)).collect()]
+    assert {i for i, _ in kept} == {9, 5, 7, None} and len(kept) == 4 and (5, "only here") in kept
+
+
+def test_hot_texts_are_salted(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"t{i % 30}") for i in range(300)]
+    alone, crowd = exact_dedup._decided(table(spark, rows).repartition(6), 4, None, rows_a_salt=7)
+    assert alone.count() == 0 and crowd.count() == 300
+    assert {(r.norm, r.keep_id, r.group_size) for r in crowd.collect()} == {("hot", 299, 200), *((f"t{k}", 270 + k, 10) for k in range(0, 30, 3))}
+
+
 # -- SimHash ----------------------------------------------------------------------------------
 
 

@@ -186,3 +186,26 @@ def test_vocabulary_file_is_what_is_expected(bpe):
         spec = json.load(f)
     assert spec["model"]["end_of_word_suffix"] == "</w>"
     assert spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed"
+
+
+def test_long_words_and_many_spans():
+    """Inputs on which rescanning would take minutes."""
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lattica.llm import pii, tokens
+
+    path = public_tokenizers.path(tokens.TOKENIZER)
+    library, bpe, rng = Tokenizer.from_file(path), tokens.WordBpe(path), random.Random(6)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "aaaé") for n in (300, 4_000)]
+    texts += ["a" * 1001, "the" * 700 + " " + "ing" * 400]
+    assert bpe.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    began = time.time()
+    assert bpe.count(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))])[0] > 100_000
+    assert time.time() - began < 120
+    line = "é 4111 1111 1111 1112 mail a.b@example.org \n"
+    began = time.time()
+    spans = pii.find([line * 50_000], pii.Decoder(pii.default_field()))[0]
+    assert sum(k == "email" for _, _, k in spans) == 50_000 and time.time() - began < 120

@@ -188,13 +188,26 @@ def test_rates_and_distribution(spark):
 
 def test_many_sources_and_high_rates(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"s{i % 20}", "t", 3) for i in range(400)], "doc_id long, source string, text string, copy int")
-    want = {(r.doc_id, r.copy) for r in mixing.mix(docs, epochs=30.0).collect()}
+    want = {(r.doc_id, r.mix_copy) for r in mixing.mix(docs, epochs=30.0).collect()}
     assert abs(len(want) - 12_000) < 5 * math.sqrt(12_000)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
-    assert {(r.doc_id, r.copy) for r in mixing.mix(docs, epochs=30.0).collect()} == want
+    assert {(r.doc_id, r.mix_copy) for r in mixing.mix(docs, epochs=30.0).collect()} == want
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_edges(spark):
+    rows = [(None, None, f"t{i}", "a", 1, 2, 3, "k", "m") for i in range(300)] + [(1, "s", None, "a", 1, 2, 3, "k", "m")] * 3 + [(2, "zero", "x" * 300_000, "b", 1, 2, 3, "k", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, __source string, __parts int, __times int, __copy int, shuffle_key string, mix_shuffle_key string")
+    out = mixing.mix(docs, {None: 1.0, "s": 1.0, "zero": 0.0}, epochs=2.0)
+    assert out.columns == [*docs.columns, "copy", "_mix_shuffle_key"]
+    got = out.collect()
+    assert {r.source for r in got} <= {None, "s"}
+    assert len({r._mix_shuffle_key for r in got if r.doc_id is None}) > 150  # no single key for rows without id
+    same = [r.copy for r in got if r.doc_id == 1]
+    assert sorted(same) == sorted([k for k in range(1, max(same) + 1)] * 3)
+    assert mixing.mix(docs, {"s": -1.0}).count() == 0
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 
