@@ -9,35 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import only_ids
+from lattica.llm.common import only_rows
 from lattica.llm.decontaminate import without_leaks
 from lattica.llm.exact_dedup import keep_one
 from lattica.llm.mixing import mix
 from lattica.llm.near_dedup import keep_representatives
-from lattica.llm.quality import classify
+from lattica.llm.quality import scored_rows
 from lattica.session import checkpointed, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go: low quality or toxic."""
-    scored = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where(~F.col("keep") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return only_ids(docs, checkpointed(rejected), keep=False)
+    scored = scored_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rejected = scored.where(~F.col("keep")).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    return only_rows(docs, checkpointed(rejected), keep=False)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
     return keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that near copies join (links, and links of links) the row with the least id stays."""
     return keep_representatives(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated so that sources stand in proportion to the root of their sizes, and shuffled."""
     return mix(docs)
 
 
