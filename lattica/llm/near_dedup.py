@@ -12,7 +12,9 @@ least document. An exact join decides the rest: two sets at the threshold share
 of any common order, as many as the threshold leaves room to miss. Documents of different groups that
 share such a shingle are compared: in pairs where they are few, else by the same join among themselves,
 in the order of how frequent shingles are among just them. Common shingles come last in the order, by a
-sample; the sample has no say in what is found.
+sample; the sample has no say in what is found. Before the sets of a pair meet, parities of how many
+shingles fall into each of some buckets do: each shingle that one set alone has turns one parity over, so
+pairs with more different parities than the threshold allows different shingles go without a loss.
 
 Cases: null text is empty and equal to other texts without words; rows with one id are one document, near
 to whatever one of them is near to; a null doc_id is left alone; texts of any length are read whole; an empty table
@@ -25,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import BROADCAST_IDS, each_slice, only_ids
@@ -37,11 +39,11 @@ WORDS, SIMILARITY = 5, 0.8
 #: Sampled fingerprints a document, and shingles in a sample.
 TABLES, SAMPLE = 12, 3
 #: Documents that share a shingle up to which their pairs are joined; more are compared in one task a block.
-SMALL = 8
+SMALL = 64
 #: Shingles in a block of a crowded shingle's documents; each two blocks are compared in one task.
 BLOCK = 1_000_000
 #: Documents from which common shingles are learnt, and how many of these are remembered.
-LEARN, COMMON = 8000, 131_072
+LEARN, COMMON = 16_000, 131_072
 
 
 def multipliers(tables: int) -> np.ndarray:
@@ -95,8 +97,15 @@ def room(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls into each bucket, as bits; two buckets a hash or more."""
+    size = max(256, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample: int = SAMPLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, whole (fingerprint), keys (sampled fingerprints), n and shingles (sorted 32-bit hashes), first (prefix)."""
+    """doc_id, whole (fingerprint), keys (sampled fingerprints), n and parity, shingles (sorted 32-bit hashes), first (prefix)."""
     common = common_shingles(docs, words)
 
     def make():
@@ -108,16 +117,35 @@ def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample:
                 hashes = shingle_hashes(t, words)
                 own = np.unique(hashes)
                 short = np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), len(own), short, prefix(own, common, similarity).view(np.int64)))
+                out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), len(own), parities(own), short, prefix(own, common, similarity).view(np.int64)))
             return out
 
         return of
 
-    return each_slice(docs.where(F.col("doc_id").isNotNull()), make, "whole long, keys array<long>, n long, shingles array<int>, first array<long>")
+    return each_slice(docs.where(F.col("doc_id").isNotNull()), make, "whole long, keys array<long>, n long, parity array<long>, shingles array<int>, first array<long>")
+
+
+def _may_be_similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parities differ no more than those of similar enough sets can."""
+
+    def side(i: str) -> DataFrame:
+        return sketched.select(F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}"), F.col("parity").alias(f"p_{i}"))
+
+    def folded(p: str, q: str) -> Column:
+        """As many buckets as the other has, where it has half as many."""
+        half = F.size(q)
+        return F.when(F.size(p) == 2 * half, F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.get(p, i).bitwiseXOR(F.get(p, i + half)))).otherwise(F.col(p))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", folded("p_a", "p_b").alias("p"), folded("p_b", "p_a").alias("q"))
+    differ = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6)
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    return both.where(sized & ((F.size("p") != F.size("q")) | (differ <= most))).select("a", "b")
 
 
 def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar enough. ``pairs`` must be durable."""
+    pairs = checkpointed(_may_be_similar(pairs, sketched, similarity).distinct(), FEWER)
     ids = checkpointed(pairs.select(F.col("a").alias("__id")).unionByName(pairs.select(F.col("b").alias("__id"))).distinct(), FEWER)
     sets = only_ids(sketched.select("doc_id", "shingles"), ids, keep=True)
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -179,7 +207,10 @@ def _missing(sketched: DataFrame, roots: DataFrame, tested: DataFrame, small: in
     enough = left + F.least("at_a", "at_b") >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
     pairs = one.join(two, "s").where(apart & sized & enough).select("a", "b").distinct()
     new = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"), FEWER)
-    links = similar(new, sketched, similarity)
+    del met, one, two, pairs, by_shingle
+    free_shuffles(sketched.sparkSession)
+    links = checkpointed(similar(new, sketched, similarity), FEWER)
+    free_shuffles(sketched.sparkSession)
     # Shingles that stand side by side have the same documents: one of them stands for all.
     once = checkpointed(crowded.groupBy("docs", "size", "who").agg(F.min("s").alias("s")).select("s", "size"), FEWER)
     return links if once.isEmpty() else links.unionByName(_among_crowds(placed, once, sketched, similarity)).distinct()
