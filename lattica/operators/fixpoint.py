@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.semiring import MIN
+from lattica.functions.semiring import MIN, MINPLUS
 from lattica.operators.layers import Layers
 from lattica.operators.relation import Relation
 from lattica.session import checkpointed
@@ -36,7 +36,6 @@ def semi_naive(seed: Relation, step: Callable[[Relation], Relation], minify: str
     if minify not in POLICIES:
         raise ValueError(f"minify is one of {POLICIES}")
     delta, size = _durable(Relation.as_set(seed.df, *seed.keys))
-    delta, size = _durable(Relation.as_set(seed.df, *seed.keys))
     total, rounds, left = Layers(), 0, size if threshold is None else threshold
     known: Relation | None = None
     while size:
@@ -101,6 +100,23 @@ def labelled_reach(seed: DataFrame, edges: DataFrame, minify: str = "eager", max
     return semi_naive(Relation.as_set(seed.select("a", "c"), "a", "c"), lambda d: d.rename("a", "b").join(e).project("a", "c"), minify, max_rounds=max_rounds).df
 
 
+def _improved(start: Relation, send: Callable[[Relation], Relation], max_rounds: int | None) -> DataFrame:
+    """The least values that ``start`` and what ``send`` makes of improved ones reach.
+
+    Improved values are layers, so a round writes what became smaller only; a key's value is the least of
+    its layers.
+    """
+    total, rounds = Layers(disjoint=False), 0
+    delta, size = _durable(start)
+    while size:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise FixpointLimit(f"no fixpoint after {rounds} rounds")
+        total.push(delta, size)
+        delta, size = _durable(send(delta).improving(total.total()))
+        rounds += 1
+    return total.total().df if total.layers else start.df
+
+
 def min_reachable(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(v, m): the smallest vertex that a path of at least one edge leads to from v; sinks are absent.
 
@@ -108,16 +124,43 @@ def min_reachable(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """
     e = Relation.as_set(edges.select("src", "dst"), "src", "dst")
     e = e._with(checkpointed(e.df))
-    best = Relation.as_map(e.df.select(F.col("src").alias("v"), F.col("dst").alias("m")), ["v"], "m", MIN)
-    best, size = _durable(best)
-    delta, rounds = best, 0
     back = e.df.select(F.col("dst").alias("w"), F.col("src").alias("v"))
-    while size:
+
+    def send(delta: Relation) -> Relation:
+        return Relation.as_map(delta.df.select(F.col("v").alias("w"), "m").join(back, "w").select("v", "m"), ["v"], "m", MIN)
+
+    return _improved(Relation.as_map(e.df.select(F.col("src").alias("v"), F.col("dst").alias("m")), ["v"], "m", MIN), send, max_rounds)
+
+
+def cheapest_paths(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(a, c, cost): the least sum of costs of a path from a to c over ``edges`` (src, dst, cost >= 0)."""
+    step = Relation.as_map(edges.select("src", "dst", "cost"), ["src", "dst"], "cost", MINPLUS)
+    step = step._with(checkpointed(step.df))
+
+    def send(delta: Relation) -> Relation:
+        return delta.rename("a", "b").join(step.rename("b", "c"), value="cost").project("a", "c")
+
+    return _improved(step.rename("a", "c"), send, max_rounds)
+
+
+def ranged_closure(edges: DataFrame, parts: int | None = None, max_rounds: int | None = None) -> DataFrame:
+    """The closure with each delta dealt to ranges of its first vertex, by which pairs stay dealt.
+
+    New pairs keep the first vertex of the pair that they extend, so a pair that is derived twice is
+    derived within one range: what is known need not move, only the edges do.
+    """
+    spark = edges.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = Relation.as_set(edges.select("src", "dst"), "src", "dst")
+    e = e._with(checkpointed(e.df))
+    step = e.rename("b", "c").df
+    delta = checkpointed(e.rename("a", "c").df.repartitionByRange(parts, "a").sortWithinPartitions("a", "c"))
+    known, rounds = delta, 0
+    while not delta.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
             raise FixpointLimit(f"no fixpoint after {rounds} rounds")
-        sent = delta.df.select(F.col("v").alias("w"), "m").join(back, "w").select("v", "m")
-        delta, size = _durable(Relation.as_map(sent, ["v"], "m", MIN).improving(best))
-        if size:
-            best, _ = _durable(best.union(delta))
+        found = delta.withColumnRenamed("c", "b").join(step, "b").select("a", "c").distinct()
+        delta = checkpointed(found.join(known, ["a", "c"], "left_anti").repartitionByRange(parts, "a").sortWithinPartitions("a", "c"))
+        known = known.unionByName(delta)
         rounds += 1
-    return best.df
+    return known

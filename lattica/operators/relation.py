@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.bounds import between_bounds
 from lattica.functions.semiring import COUNT, Semiring
+from lattica.session import written
 
 KINDS = ("set", "bag", "map")
 
@@ -146,6 +147,14 @@ class Relation:
         """One row per distinct prefix with the list of what hangs below it."""
         return self.df.groupBy(*self.keys[:outer]).agg(F.sort_array(F.collect_list(F.struct(*[c for c in self.columns if c not in self.keys[:outer]]))).alias("items"))
 
+    def stored(self, name: str = "relation") -> Relation:
+        """The same tuples, written once in the shared folder and read from there."""
+        return self._with(written(self.df.select(*self.columns), name))
+
+    def values(self) -> DataFrame:
+        """The annotations alone, one a tuple."""
+        return self.df.select(self.value)
+
     def count(self) -> int:
         return self.df.count()
 

@@ -12,8 +12,7 @@ from lattica.operators.fixpoint import FixpointLimit
 from lattica.operators.layers import Layers
 from lattica.operators.relation import Relation
 from lattica.plans.language import Atom, Const, Program, Query, Rule, Test, Var, parse_program, parse_query, parse_rule
-from lattica.plans.planner import check, join_order, without_redundant
-from lattica.plans.planner import variable_order as by_sharing
+from lattica.plans.planner import check, join_order, planned_order, without_redundant
 from lattica.session import checkpointed
 
 _TESTS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "!=": operator.ne}
@@ -57,10 +56,10 @@ class Engine:
         check(query, functions=self.functions)
         where = {id(a): i for i, a in enumerate(query.atoms)}
         stored = [a for a in query.atoms if not a.negated and a.pred not in self.functions]
-        ranked = join_order(stored, order or by_sharing(query))
+        ranked = join_order(stored, order or planned_order(query))
         if override is not None:  # the delta is the smallest input: it goes first
             lead = query.atoms[override[0]]
-            rest = join_order([a for a in stored if a is not lead], order or by_sharing(query))
+            rest = join_order([a for a in stored if a is not lead], order or planned_order(query))
             ranked, bound = [lead], set(lead.variables)
             while rest:
                 near = next((a for a in rest if bound & set(a.variables)), rest[0])

@@ -26,7 +26,7 @@ def edge_list(spark: SparkSession, paths: str | Sequence[str], cap: int | str |
     return lines.select(_strict_long(F.get(tokens, F.lit(0))).alias("src"), _strict_long(F.get(tokens, F.lit(1))).alias("dst"))
 
 
-def weighted_edges(spark: SparkSession, paths: str | Sequence[str], cap: int | str | None = 15_000) -> DataFrame:
+def weighted_edges(spark: SparkSession, paths: str | Sequence[str], cap: int | str | None = None) -> DataFrame:
     """``src dst {…}`` with whatever follows ignored; the cap counts lines."""
     lines = first_rows(spark.read.text([paths] if isinstance(paths, str) else list(paths)), cap)
     tokens = F.split("value", " ")

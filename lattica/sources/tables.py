@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,21 +19,28 @@ def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(second, ["l_orderkey", "l_linenumber"]).select("src", "dst", "q").na.drop(subset=["src", "dst"])
 
 
+def vertex(order: str, line: str) -> Column:
+    """A number for each order line; an order has seven at most."""
+    return F.col(order) * 8 + F.col(line)
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, cost): each order line and the next one of its order, and the first one's quantity."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("cost"))
+    first = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), vertex("l_orderkey", "l_linenumber").alias("src"), "cost")
+    second = line.select("l_orderkey", "l_linenumber", vertex("l_orderkey", "l_linenumber").alias("dst"))
+    return first.join(second, ["l_orderkey", "l_linenumber"]).select("src", "dst", "cost").na.drop(subset=["src", "dst"])
+
+
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """edge and sedge: sets; w: counted; u: undirected a < b; seed: customer to part; nseed: customer bucket to part."""
+    """edge: parts, set; w: counted; u: undirected a < b; step: order lines, set; seed: customer to the first line of an order."""
     if name == "seed":
-        orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("a"))
-        lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("c"))
-        return orders.join(lines, "o_orderkey").select("a", "c").distinct()
-    if name == "nseed":
-        orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("a"))
-        lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 1).select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("c"))
-        return orders.join(lines, "o_orderkey").select("a", "c").distinct()
+        return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 8 + 1).alias("c")).distinct()
+    if name == "step":
+        return steps(spark, sf_dir).select("src", "dst").distinct()
     raw = successions(spark, sf_dir)
     if name == "edge":
         return raw.select("src", "dst").distinct()
-    if name == "sedge":
-        return raw.where(F.col("q") >= 50).select("src", "dst").distinct()
     if name == "w":
         return raw.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     if name == "u":

@@ -38,6 +38,20 @@ def delta_paths(old: DataFrame, delta: DataFrame) -> DataFrame:
     return paths(delta, old).unionByName(paths(old, delta)).unionByName(paths(delta))
 
 
+def delta_by_cases(old: DataFrame, detours: DataFrame) -> DataFrame:
+    """What detours a→b→c (a, b, c; b is new to the graph) add to the view of ``old``, case by case.
+
+    A new path goes x→a→b, a→b→c or b→c→y, or joins two detours where one ends and another starts: no
+    other pair of edges can meet, as b has no other edge.
+    """
+    d = detours.select("a", "b", "c")
+    into = old.select(F.col("src").alias("x"), F.col("dst").alias("a"), "n").join(d, "a").select(F.col("x").alias("a"), F.col("a").alias("b"), F.col("b").alias("c"), "n")
+    through = d.withColumn("n", F.lit(1).cast("long"))
+    onward = old.select(F.col("src").alias("c"), F.col("dst").alias("y"), "n").join(d, "c").select(F.col("b").alias("a"), F.col("c").alias("b"), F.col("y").alias("c"), "n")
+    chained = d.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("c").alias("w")).join(d, F.col("w") == F.col("a")).select(F.col("v").alias("p"), F.col("w").alias("q"), F.col("b").alias("r")).toDF("a", "b", "c").withColumn("n", F.lit(1).cast("long"))
+    return into.unionByName(through).unionByName(onward).unionByName(chained).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
 def rewrites(edges: list[tuple[int, int]], steps: int, fresh: int | None = None) -> Iterator[list[tuple[int, int]]]:
     """The two edges that each of ``steps`` rewrites adds: an edge (a, c) gets a detour a→b→c.
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lattica.operators.fixpoint import cheapest_paths, ranged_closure
 from lattica.operators import FixpointLimit, Layers, Relation, closing_triangles, hypercube_triangles, labelled_reach, min_reachable, orient, transitive_closure, triangles
 
 
@@ -75,3 +76,24 @@ def test_triangles(spark):
     open_ = {(a, b, c) for a, b in flat for x, c in flat if x == b and (a, c) in flat}
     got = [tuple(r) for r in closing_triangles(orient(df)).collect()]
     assert set(got) == open_ and len(got) == len(open_)
+
+
+def test_ranged_closure_and_cheapest_paths_with_cycles(spark):
+    rng = random.Random(11)
+    rows = sorted({(rng.randrange(14), rng.randrange(14)): rng.randrange(1, 9) for _ in range(30)}.items())
+    costs = {k: v for k, v in rows}
+    for m in range(14):
+        for a in range(14):
+            for c in range(14):
+                if (a, m) in costs and (m, c) in costs:
+                    costs[a, c] = min(costs.get((a, c), 10**9), costs[a, m] + costs[m, c])
+    for _ in range(3):  # cycles through their own start
+        for (a, b), v in list(costs.items()):
+            for (b2, c), w in list(costs.items()):
+                if b == b2:
+                    costs[a, c] = min(costs.get((a, c), 10**9), v + w)
+    edges = spark.createDataFrame([(a, b, v) for (a, b), v in rows], "src long, dst long, cost long")
+    assert {((r.a, r.c), r.cost) for r in cheapest_paths(edges).collect()} == set(costs.items())
+    assert sorted((r.a, r.c) for r in ranged_closure(edges, parts=3).collect()) == sorted(costs)
+    with pytest.raises(FixpointLimit):
+        ranged_closure(edges, max_rounds=0)
