@@ -159,6 +159,42 @@ def test_held_out_accuracy(spark):
     assert right / len(joined) > 0.93
 
 
+def test_exchange_is_no_worse(spark):
+    """Held-out rows, with and without exchange; labelled rows of the test are unlabelled rows of the training."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    learn, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
+    right = {}
+    for rounds in (0, quality.ROUNDS):
+        rows, model = quality.co_trained(docs, learn, rounds)
+        got = quality.score(rows, model).join(test, "doc_id").collect()
+        assert min(w for m in model.mix.values() for w in m[:2]) >= 0
+        toxic, clean = [r for r in got if r.toxic], [r for r in got if r.quality and not r.toxic]
+        right[rounds] = sum(not r.keep for r in toxic) / len(toxic), sum(r.keep for r in clean) / len(clean)
+    assert right[quality.ROUNDS][0] >= right[0][0] - 0.01 and right[quality.ROUNDS][1] >= right[0][1] - 0.002
+    assert right[quality.ROUNDS][0] > 0.85 and right[quality.ROUNDS][1] > 0.99
+
+
+def test_sums_of_sure_rows(spark):
+    """Distributed sums against plain loops, over more parts than are added up at once."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows, model = quality.co_trained(docs, labels, 0)
+    got = quality.sure_sums(rows.repartition(quality.FAN + 3), model, 0.9)
+    data = rows.collect()
+    for (trait, learner), (there, n) in got.items():
+        teacher = "page" if learner == "text" else "text"
+        factor, offset = model.scale[trait, teacher]
+        want, many = np.zeros_like(there), np.zeros(2)
+        for r in data:
+            view = model.views[trait, teacher]
+            p = 1 / (1 + math.exp(-(factor * (view.weights[list(r[teacher])].sum() + view.bias) + offset)))
+            if p > 0.9 or p < 0.1:
+                want[int(p > 0.9), list(r[learner])] += 1
+                many[int(p > 0.9)] += 1
+        assert np.abs(want - there).max() <= 1 and np.abs(many - n).max() <= 1
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, None, "x"), (None, "a b", "s", "x"), (1, "c " * 40_000, "s", "x")], "doc_id long, text string, source string, keep string")
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
