@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import BROADCAST_IDS, each_slice, only_ids
 from lattica.llm.components import FEWER, components
+from lattica.llm.meeting import Part, flat_lists, heads, meet, unique_pairs
 from lattica.llm.simhash import SEED, fingerprint, near_fingerprints, shingle_hashes, signed
 from lattica.session import checkpointed, free_shuffles, written
 
@@ -40,6 +41,8 @@ WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLE = 12, 3
 #: Documents that share a shingle up to which their pairs are joined; more are compared in one task a block.
 SMALL = 64
+#: Documents of one pack that share a shingle up to which the shingle sends them one by one; else it is crowded.
+IN_PACK = 16
 #: Shingles in a block of a crowded shingle's documents; each two blocks are compared in one task.
 BLOCK = 1_000_000
 #: Documents from which common shingles are learnt, and how many of these are remembered.
@@ -155,16 +158,41 @@ def similar(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFra
     return both.where((common >= similarity * union) | (union == 0)).select("a", "b")
 
 
+def _stars(table: pa.Table) -> list[Part]:
+    """Of each key among some documents the least one, and the pairs of that one with the others."""
+    lengths, keys = flat_lists(table.column("keys"))
+    docs = np.repeat(table.column("doc_id").to_numpy(), lengths)
+    key, least, a, b = _star(keys, docs)
+    return [(key, [key, least]), (b, [a, b])]
+
+
+def _star(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = heads(keys)
+    least = docs[new][np.cumsum(new) - 1]
+    others = docs != least
+    return keys[new], docs[new], *unique_pairs(least[others], docs[others])
+
+
 def first_pairs(sketched: DataFrame) -> DataFrame:
-    """Pairs (a, b) to test: of near fingerprints through anchors, and of each sample's bucket with its least document."""
+    """Pairs (a, b) to test: of near fingerprints through anchors, and of those that share a sample, by stars.
+
+    A sample's documents are linked to the least of their task, and these to the least of all.
+    """
     whole = checkpointed(sketched.groupBy("whole").agg(F.min("doc_id").alias("least")))
     near = near_fingerprints(whole.select(F.col("whole").alias("fp")))
     ends = near.join(whole.select(F.col("whole").alias("a"), F.col("least").alias("la")), "a").join(whole.select(F.col("whole").alias("b"), F.col("least").alias("lb")), "b")
     across = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
     buckets = F.transform(F.concat(F.array("whole"), "keys"), lambda key, table: F.xxhash64(table, key))
-    placed = sketched.select("doc_id", F.explode(buckets).alias("key"))
-    least = placed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key", "a")
-    within = placed.join(least, "key").where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b"))
+
+    def decide(columns: list[np.ndarray]) -> list[np.ndarray]:
+        keys, docs, a, b = columns
+        _, _, more_a, more_b = _star(keys, docs)
+        return unique_pairs(np.concatenate([a, more_a]), np.concatenate([b, more_b]))
+
+    entries = sketched.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
+    within = meet(sketched.select("doc_id", buckets.alias("keys")), "keys", entries, ["<i8"] * 4, _stars, decide, "a long, b long")
     return across.unionByName(within).distinct()
 
 
@@ -192,31 +220,100 @@ def _missing(sketched: DataFrame, roots: DataFrame, tested: DataFrame, small: in
     """Links (a, b) that join all groups (``roots``) which have near copies in each other.
 
     Documents meet at the shingles of their prefixes. A shingle within one group is left at once, and so
-    is a pair if what follows its place in both prefixes is too little to reach the threshold.
+    is a pair if what follows its place in both prefixes is too little to reach the threshold. A shingle of
+    more than ``small`` documents, or of more than some in one pack, is crowded: its documents stay where
+    they are, and only their number, their sizes and a sum of their ids are gathered.
     """
-    rooted = sketched.select("doc_id", "first", "n").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = rooted.select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"), F.posexplode("first").alias("at", "s"))
-    by_shingle = placed.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("who"))
-    mixed = checkpointed(by_shingle.where(F.col("lo") != F.col("hi")).select("s", "docs", "size", "who"), FEWER)
-    few, crowded = mixed.where(F.col("docs") <= small).select("s"), mixed.where(F.col("docs") > small)
-    met = checkpointed(placed.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "s"), FEWER)
-    one, two = (met.select("s", F.col("doc_id").alias(i), *[F.col(c).alias(f"{c}_{i}") for c in ("root", "n", "at")]) for i in "ab")
-    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = left + F.least("at_a", "at_b") >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
-    pairs = one.join(two, "s").where(apart & sized & enough).select("a", "b").distinct()
+    in_pack = min(IN_PACK, small)
+
+    def pack(table: pa.Table) -> list[Part]:
+        return packed_prefixes(table, in_pack)
+
+    def decide(columns: list[np.ndarray]) -> list[np.ndarray]:
+        return met_prefixes(columns, small, similarity)
+
+    named = roots.withColumnRenamed("node", "doc_id")
+    rooted = sketched.select("doc_id", "first", "n").join(F.broadcast(named) if roots.count() <= BROADCAST_IDS else named, "doc_id", "left")
+    rooted = rooted.select("doc_id", F.coalesce("root", "doc_id").alias("root"), "n", "first")
+    entries = sketched.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
+    met = checkpointed(meet(rooted, "first", int(entries), PREFIX_KINDS, pack, decide, "a long, b long, docs long, size long, who long"))
+    pairs = met.where(F.col("docs") == 0).select("a", "b").distinct()
     new = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"), FEWER)
-    del met, one, two, pairs, by_shingle
     free_shuffles(sketched.sparkSession)
     links = checkpointed(similar(new, sketched, similarity), FEWER)
     free_shuffles(sketched.sparkSession)
     # Shingles that stand side by side have the same documents: one of them stands for all.
-    once = checkpointed(crowded.groupBy("docs", "size", "who").agg(F.min("s").alias("s")).select("s", "size"), FEWER)
-    return links if once.isEmpty() else links.unionByName(_among_crowds(placed, once, sketched, similarity)).distinct()
-
-
-def _among_crowds(placed: DataFrame, crowds: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    once = checkpointed(met.where(F.col("docs") > 0).groupBy("docs", "size", "who").agg(F.min("a").alias("s")).select("s", "size"), FEWER)
+    return links if once.isEmpty() else links.unionByName(_among_crowds(rooted, once, sketched, similarity)).distinct()
+
+
+#: Types of packed prefixes: shingle, document, root, n and place of single ones; shingle, documents, sum of
+#: n, sum of ids, least and greatest root of crowds.
+PREFIX_KINDS = ["<i8", "<i8", "<i8", "<i4", "<i4", *["<i8"] * 6]
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Ids spread over 64 bits, so that their exclusive or tells sets of documents apart."""
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _crowds(s: np.ndarray, docs: np.ndarray, size: np.ndarray, who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Figures of each shingle, of entries sorted by shingle."""
+    at = np.flatnonzero(heads(s))
+    if not len(at):
+        return [s, docs, size, who, lo, hi]
+    return [s[at], np.add.reduceat(docs, at), np.add.reduceat(size, at), np.bitwise_xor.reduceat(who, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)]
+
+
+def packed_prefixes(table: pa.Table, in_pack: int) -> list[Part]:
+    """Entries of some documents' prefixes, singly, and crowds of shingles that more than ``in_pack`` have."""
+    lengths, s = flat_lists(table.column("first"))
+    doc, root, n = (np.repeat(table.column(c).to_numpy(), lengths) for c in ("doc_id", "root", "n"))
+    place = np.arange(len(s)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.argsort(s, kind="stable")
+    s, doc, root, n, place = (x[order] for x in (s, doc, root, n, place))
+    new = heads(s)
+    times = np.diff(np.r_[np.flatnonzero(new), len(s)])
+    many = np.repeat(times > in_pack, times)
+    crowds = _crowds(s[many], np.ones(many.sum(), np.int64), n[many], _mixed(doc[many]), root[many], root[many])
+    single = [x[~many] for x in (s, doc, root)] + [x[~many].astype(np.int32) for x in (n, place)]
+    return [(single[0], single), (crowds[0], crowds)]
+
+
+def met_prefixes(columns: list[np.ndarray], small: int, similarity: float) -> list[np.ndarray]:
+    """Pairs (a, b, 0, 0, 0) to test, and crowds (shingle, -1, documents, sum of n, sum of ids), across roots."""
+    single, crowds = columns[:5], columns[5:]
+    order = np.argsort(single[0], kind="stable")
+    s, doc, root, n, place = (x[order] for x in single)
+    n, place = n.astype(np.int64), place.astype(np.int64)
+    times = np.diff(np.r_[np.flatnonzero(heads(s)), len(s)])
+    many = np.repeat(times > small, times) | np.isin(s, crowds[0])
+    more = [s[many], np.ones(many.sum(), np.int64), n[many], _mixed(doc[many]), root[many], root[many]]
+    both = [np.concatenate(x) for x in zip(crowds, more, strict=True)]
+    order = np.argsort(both[0], kind="stable")
+    crowd, docs, size, who, lo, hi = _crowds(*[x[order] for x in both])
+    apart = lo != hi
+    again = np.repeat(times > 1, times) & ~many
+    s, doc, root, n, place = (x[again] for x in (s, doc, root, n, place))
+    found = [np.empty((2, 0), np.int64)]
+    for step in range(1, len(s)):
+        i = np.flatnonzero(s[step:] == s[:-step])
+        if not len(i):
+            break
+        j = i + step
+        sized = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+        left = np.minimum(n[i] - place[i], n[j] - place[j]) + np.minimum(place[i], place[j])
+        stays = sized & (doc[i] != doc[j]) & (root[i] != root[j]) & (left >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6)
+        x, y = doc[i[stays]], doc[j[stays]]
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+    a, b = unique_pairs(*np.concatenate(found, axis=1))
+    none = np.zeros(len(a), np.int64)
+    return [np.concatenate([x, y[apart]]) for x, y in zip((a, b, none, none, none), (crowd, np.full(len(crowd), -1), docs, size, who), strict=True)]
+
+
+def _among_crowds(rooted: DataFrame, crowds: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that span what is similar within each crowded shingle's documents.
 
     A shingle's documents are dealt to blocks of a bounded size, and every two blocks meet in one task.
@@ -227,8 +324,9 @@ def _among_crowds(placed: DataFrame, crowds: DataFrame, sketched: DataFrame, sim
         links = spanning(ids, roots, [np.asarray(x.values) for x in rows.column("shingles")], similarity)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
+    placed = rooted.select("doc_id", "root", F.explode("first").alias("s"))
     dealt = placed.join(F.broadcast(crowds) if crowds.count() <= BROADCAST_IDS else crowds, "s")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     own = checkpointed(dealt.select("s", "doc_id", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("own")), FEWER)
     ids = checkpointed(own.select(F.col("doc_id").alias("__id")).distinct(), FEWER)
     sets = only_ids(sketched.select("doc_id", "shingles"), ids, keep=True)

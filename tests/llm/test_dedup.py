@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -198,6 +199,39 @@ def test_star_of_near_copies(spark):
     assert {(r.node, r.root) for r in near_dedup.groups(table(spark, rows)).collect()} == {(i, 0) for i, _ in rows}
 
 
+@pytest.mark.parametrize(("small", "in_pack"), [(64, 16), (4, 2), (1, 1)])
+def test_packed_prefixes_meet(small, in_pack):
+    """Packs of any cut give the pairs that may be similar; what is too frequent is a crowd with its figures."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.choice([i, i // 2])), int(n), rng.choice(40, int(n) // 3 + 1, replace=False).tolist()) for i, n in enumerate(rng.integers(20, 60, 60))]
+    columns = [[] for _ in near_dedup.PREFIX_KINDS]
+    in_one = {}
+    for at in range(0, 60, 25):
+        some = rows[at : at + 25]
+        table = pa.table({"doc_id": [r[0] for r in some], "root": [r[1] for r in some], "n": [r[2] for r in some], "first": pa.array([r[3] for r in some], pa.list_(pa.int64()))})
+        for s in range(40):
+            in_one[s] = max(in_one.get(s, 0), sum(s in r[3] for r in some))
+        parts = [c for _, cs in near_dedup.packed_prefixes(table, in_pack) for c in cs]
+        for held, c, kind in zip(columns, parts, near_dedup.PREFIX_KINDS, strict=True):
+            held.append(np.frombuffer(c.astype(kind).tobytes(), kind))
+    a, b, docs, size, _ = near_dedup.met_prefixes([np.concatenate(c) for c in columns], small, 0.8)
+    owners = {s: [r for r in rows if s in r[3]] for s in range(40)}
+    crowded = {s for s, own in owners.items() if len(own) > small or in_one[s] > in_pack}
+    across = {s for s, own in owners.items() if len({r[1] for r in own}) > 1}
+    pairs = set()
+    for s in across - crowded:
+        for x in owners[s]:
+            for y in owners[s]:
+                i, j = x[3].index(s), y[3].index(s)
+                most = min(x[2] - i, y[2] - j) + min(i, j)
+                if x[0] < y[0] and x[1] != y[1] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]) and most >= 0.8 / 1.8 * (x[2] + y[2]) - 1e-6:
+                    pairs.add((x[0], y[0]))
+    assert set(zip(a[docs == 0].tolist(), b[docs == 0].tolist(), strict=True)) == pairs and (docs == 0).sum() == len(pairs)
+    assert dict(zip(a[docs > 0].tolist(), zip(docs[docs > 0].tolist(), size[docs > 0].tolist(), strict=True), strict=True)) == {s: (len(owners[s]), sum(r[2] for r in owners[s])) for s in crowded & across}
+    none = near_dedup.met_prefixes([np.empty(0, k) for k in near_dedup.PREFIX_KINDS], small, 0.8)
+    assert [len(x) for x in none] == [0] * 5
+
+
 def test_pairs_behind_a_frequent_passage(spark):
     """Documents that share most of their words, each with one true near copy."""
     rng = random.Random(21)
