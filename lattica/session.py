@@ -86,11 +86,16 @@ def checkpointed(df: DataFrame, fewer: int = 1) -> DataFrame:
 
 
 def written(df: DataFrame, name: str = "cut", partition_by: str | None = None) -> DataFrame:
-    """Cut the lineage of a large frame: columnar, compressed, prunable. Written once, then re-read."""
+    """Cut the lineage of a large frame: columnar, compressed, prunable. Written once, then re-read.
+
+    The folder goes when the driver ends: until then frames that read it may be in use.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex}"
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
