@@ -17,7 +17,7 @@ from lattica.llm.common import _arrow_schema
 from lattica.session import ship_package
 
 #: Entries that a task packs before it sends them, and that a bucket takes, about.
-PACK, BUCKET = 1 << 20, 1 << 19
+PACK, BUCKET = 1 << 18, 1 << 17
 
 #: The key of each entry, by which its bucket is chosen, and columns of its numbers.
 Part = tuple[np.ndarray, list[np.ndarray]]
@@ -85,6 +85,8 @@ def meet(
                 held, size = [], 0
         if held:
             yield send(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     def bucket(group: pa.Table) -> pa.Table:
         columns = [np.frombuffer(b"".join(group.column(f"c{i}").to_pylist()), kind) for i, kind in enumerate(kinds)]
