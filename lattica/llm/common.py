@@ -68,6 +68,15 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return pa.schema([pa.field(f.name, pa.string() if pa.types.is_large_string(f.type) else f.type) for f in schema])
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast.
+
+    Spark takes what Python makes of a small file for small as well, however many rows it makes, and would
+    gather it in the driver. A side that grows with the table is marked by this.
+    """
+    return df.hint("merge")
+
+
 #: Ids up to which a set of them is broadcast (16 bytes each and a hash table); more are joined.
 BROADCAST_IDS = 500_000
 

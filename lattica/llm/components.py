@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import by_shuffle
 from lattica.session import checkpointed, free_shuffles
 
 
@@ -23,7 +24,7 @@ FEWER = 8
 def _star(sided: DataFrame, emit_if_above: bool) -> DataFrame:
     """For each u: its least neighbour m (itself included); its neighbours then point to m."""
     least = checkpointed(sided.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), FEWER)
-    joined = sided.join(least, "u")
+    joined = sided.join(by_shuffle(least), "u")
     if emit_if_above:
         return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     pointed = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import _arrow_schema, documents, each_slice
+from lattica.llm.common import _arrow_schema, by_shuffle, documents, each_slice
 from lattica.llm.components import components
 from lattica.session import checkpointed, ship_package, written
 
@@ -162,20 +162,20 @@ def near_fingerprints(fps: DataFrame, threshold: int = THRESHOLD, hot: int = HOT
     crowded = checkpointed(homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"))
     some = not crowded.isEmpty()
     visitors = replicas(fps, threshold).select("anchor", F.col("fp").alias("b"))
-    quiet = homes.join(crowded, "anchor", "left_anti") if some else homes
+    quiet = homes.join(by_shuffle(crowded), "anchor", "left_anti") if some else homes
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    links = quiet.select("anchor", F.col("fp").alias("a")).join(visitors, "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    links = quiet.select("anchor", F.col("fp").alias("a")).join(by_shuffle(visitors), "anchor").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     if not some:
         return links
     if threshold > 2:
         raise ValueError("crowded anchors are exact for thresholds of up to two")
-    dense = replicas(fps, threshold).join(crowded, "anchor", "left_semi").select("fp").distinct()
+    dense = replicas(fps, threshold).join(by_shuffle(crowded), "anchor", "left_semi").select("fp").distinct()
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     if threshold < 2:
         flips = F.array(F.lit(0).cast("long")) if threshold == 0 else flips
     ball = checkpointed(dense.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "fp"))
     least = checkpointed(ball.groupBy("word").agg(F.min("fp").alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("word", "m"))
-    met = ball.join(least, "word").where((F.col("fp") != F.col("m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= threshold)).select(F.col("m").alias("a"), F.col("fp").alias("b"))
+    met = ball.join(by_shuffle(least), "word").where((F.col("fp") != F.col("m")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= threshold)).select(F.col("m").alias("a"), F.col("fp").alias("b"))
     return links.unionByName(met).distinct()
 
 
@@ -184,10 +184,10 @@ def simhash_components(docs: DataFrame, words: int = WORDS, threshold: int = THR
     prints = written(fingerprints(docs, words), "fingerprints")
     different = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_fingerprints(different, threshold, hot))
-    placed = checkpointed(different.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    placed = checkpointed(different.join(by_shuffle(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = checkpointed(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    named = checkpointed(placed.join(least, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = checkpointed(placed.join(by_shuffle(least), "root").select("fp", "component_id"))
+    return prints.join(by_shuffle(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lattica.llm import components as components_module
 from lattica.llm import exact_dedup, near_dedup, simhash, suffix_dedup
 from lattica.llm.components import components
 from lattica.llm.suffix_array import permuted_prefixes, suffix_arrays
@@ -120,6 +122,30 @@ def test_near_fingerprints(spark, hot):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_no_side_of_a_simhash_join_is_broadcast(spark, monkeypatch):
+    ran = []
+
+    def seen(df, *more, cut):
+        out = cut(df, *more)
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    for module in (simhash, components_module):
+        monkeypatch.setattr(module, "checkpointed", partial(seen, cut=module.checkpointed))
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(i, text + f" {i % 7}") for i in range(40)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for hot in (1000, 0):
+            out = simhash.simhash_components(table(spark, rows), hot=hot)
+            assert out.count() == 40
+            ran.append(out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum("SortMergeJoin" in plan for plan in ran) > 8 and not any("BroadcastHashJoin" in plan for plan in ran)
+
+
 def test_simhash_query(spark):
     rng = random.Random(2)
     words = ["alpha", "Beta", "gamma", "é", "delta\x1cx", "z"]
