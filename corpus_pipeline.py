@@ -15,11 +15,18 @@ from lattica.llm.exact_dedup import keep_one
 from lattica.llm.mixing import mix
 from lattica.llm.near_dedup import keep_representatives
 from lattica.llm.quality import scored_rows
-from lattica.session import checkpointed, written
+from lattica.session import checkpointed, rest_executors, small_batches, written
+
+
+def begin(spark: SparkSession) -> None:
+    """Executors begin each stage with a heap no larger than what is in use, and take texts in small batches."""
+    small_batches(spark)
+    rest_executors(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go: low quality or toxic."""
+    begin(spark)
     scored = scored_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rejected = scored.where(~F.col("keep")).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
     return only_rows(docs, checkpointed(rejected), keep=False)
@@ -27,21 +34,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
+    begin(spark)
     return keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that near copies join (links, and links of links) the row with the least id stays."""
+    begin(spark)
     return keep_representatives(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
+    begin(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated so that sources stand in proportion to the root of their sizes, and shuffled."""
+    begin(spark)
     return mix(docs)
 
 

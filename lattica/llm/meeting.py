@@ -7,7 +7,8 @@ before it sends, so that a key sends little however many documents have it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,29 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return [a[new], b[new]]
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers outlive their tasks, and an executor's count together."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library on Linux
+    if trim is not None:
+        trim(0)
+
+
 def meet(
-    rows: DataFrame, lists: str, entries: int, kinds: list[str], pack: Callable[[pa.Table], list[Part]], decide: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str
+    rows: DataFrame,
+    lists: str,
+    entries: int,
+    kinds: list[str],
+    pack: Callable[[pa.Table], list[Part]],
+    decide: Callable[[list[np.ndarray]], list[np.ndarray]],
+    schema: str,
+    read: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]] | None = None,
 ) -> DataFrame:
     """What ``decide`` says of the entries of each bucket.
 
     ``lists`` is the column that holds a row's keys, ``entries`` how many there are, about; ``kinds`` are
-    the types of the columns of all of ``pack``'s parts, in a row. Each bucket is decided in one task.
+    the types of the columns of all of ``pack``'s parts, in a row. ``read`` makes batches with that column of
+    a batch of ``rows`` that lacks it. Each bucket is decided in one task.
     """
     buckets = np.uint64(max(1, -(-entries // BUCKET)))
     packed = "bucket long, " + ", ".join(f"c{i} binary" for i in range(len(kinds)))
@@ -78,15 +95,16 @@ def meet(
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += len(batch.column(batch.schema.get_field_index(lists)).flatten())
-            if size >= PACK:
-                yield send(held)
-                held, size = [], 0
+            for part in [batch] if read is None else read(batch):
+                held.append(part)
+                size += len(part.column(part.schema.get_field_index(lists)).flatten())
+                if size >= PACK:
+                    yield send(held)
+                    held, size = [], 0
         if held:
             yield send(held)
         held.clear()
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+        give_back()
 
     def bucket(group: pa.Table) -> pa.Table:
         columns = [np.frombuffer(b"".join(group.column(f"c{i}").to_pylist()), kind) for i, kind in enumerate(kinds)]

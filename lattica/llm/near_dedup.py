@@ -11,8 +11,8 @@ Those tables only find most links cheaply: whoever shares a table's bucket is te
 least document. An exact join decides the rest: two sets at the threshold share one of the first shingles
 of any common order, as many as the threshold leaves room to miss. Documents of different groups that
 share such a shingle are compared: in pairs where they are few, else by the same join among themselves,
-in the order of how frequent shingles are among just them. Common shingles come last in the order, by a
-sample; the sample has no say in what is found. Before the sets of a pair meet, parities of how many
+in the order of how frequent shingles are among just them. Common shingles come last in the order, as
+counted over all documents; the counts have no say in what is found. Before the sets of a pair meet, parities of how many
 shingles fall into each of some buckets do: each shingle that one set alone has turns one parity over, so
 pairs with more different parities than the threshold allows different shingles go without a loss.
 
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import BROADCAST_IDS, each_slice, only_ids
+from lattica.llm.common import BROADCAST_IDS, SLICE, each_slice, id_and_text, only_ids
 from lattica.llm.components import FEWER, components
 from lattica.llm.meeting import Part, flat_lists, heads, meet, unique_pairs
 from lattica.llm.simhash import SEED, fingerprint, near_fingerprints, shingle_hashes, signed
-from lattica.session import checkpointed, free_shuffles, written
+from lattica.session import checkpointed, free_shuffles, rest_executors, written
 
 WORDS, SIMILARITY = 5, 0.8
 #: Sampled fingerprints a document, and shingles in a sample.
@@ -45,8 +45,10 @@ SMALL = 64
 IN_PACK = 16
 #: Shingles in a block of a crowded shingle's documents; each two blocks are compared in one task.
 BLOCK = 1_000_000
-#: Documents from which common shingles are learnt, and how many of these are remembered.
-LEARN, COMMON = 16_000, 131_072
+#: Documents that a shingle which isn't common may be in, and how many of the most common ones are remembered.
+RARE, COMMON = 8, 131_072
+#: Characters of text for a shingle, about.
+WORD = 6
 
 
 def multipliers(tables: int) -> np.ndarray:
@@ -65,16 +67,47 @@ def sampled_prints(hashes: np.ndarray, factors: np.ndarray, sample: int = SAMPLE
     return np.packbits(bits * 2 > sample, axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def common_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted hashes) that several documents of a sample have, and how many. Orders shingles only."""
+def short_hashes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
-    def make():
-        return lambda texts: [(np.unique(shingle_hashes(t, words)).view(np.int64),) for t in texts]
 
-    some = docs.where(F.col("doc_id").isNotNull()).sample(min(1.0, LEARN / max(1, docs.count())), SEED)
-    counts = each_slice(some, make, "shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "s").limit(COMMON).collect()
-    shingles, n = np.array([r.s for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+def _repeats(table: pa.Table) -> list[Part]:
+    """Shingles that one of some documents has, and those that several have with how many."""
+    s, n = np.unique(flat_lists(table.column("shingles"))[1].astype(np.uint32), return_counts=True)
+    once = n == 1
+    return [(s[once].astype(np.uint64), [s[once]]), (s[~once].astype(np.uint64), [s[~once], n[~once].astype(np.int32)])]
+
+
+def _frequent(columns: list[np.ndarray], rare: int) -> list[np.ndarray]:
+    """Shingles of one bucket that more than ``rare`` documents have, and how many."""
+    once, more, times = columns
+    s, n = np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), times])
+    order = np.argsort(s, kind="stable")
+    s, n = s[order], n[order]
+    at = np.flatnonzero(heads(s))
+    if not len(at):
+        return [s, n]
+    s, n = s[at], np.add.reduceat(n, at)
+    return [s[n > rare], n[n > rare]]
+
+
+def common_shingles(docs: DataFrame, words: int = WORDS, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted 32-bit hashes) that more than ``rare`` documents have, and how many. Orders shingles only.
+
+    All documents are counted: what a sample of a fixed size takes for rare grows with the table, and the
+    pairs that meet at such shingles with its square.
+    """
+
+    def read(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, SLICE):
+            texts = batch.column(1).slice(at, SLICE).to_pylist()
+            yield pa.record_batch({"shingles": pa.array([np.unique(short_hashes(shingle_hashes(t, words))) for t in texts], pa.list_(pa.uint32()))})
+
+    rows = id_and_text(docs.where(F.col("doc_id").isNotNull()))
+    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    counts = meet(rows, "shingles", letters // WORD, ["<u4", "<u4", "<i4"], _repeats, lambda columns: _frequent(columns, rare), "s long, n long", read)
+    most = counts.orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    shingles, n = most.column("s").to_numpy().astype(np.uint32), most.column("n").to_numpy()
     order = np.argsort(shingles)
     return shingles[order], n[order]
 
@@ -91,8 +124,9 @@ def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: f
     shingles, n = common
     if not len(shingles):
         return own[:first]
-    at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-    return own[np.argsort(np.where(shingles[at] == own, n[at], 0), kind="stable")[:first]]
+    short = short_hashes(own)
+    at = np.minimum(np.searchsorted(shingles, short), len(shingles) - 1)
+    return own[np.argsort(np.where(shingles[at] == short, n[at], 0), kind="stable")[:first]]
 
 
 def room(size: int, similarity: float) -> int:
@@ -110,6 +144,7 @@ def parities(own: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample: int = SAMPLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, whole (fingerprint), keys (sampled fingerprints), n and parity, shingles (sorted 32-bit hashes), first (prefix)."""
     common = common_shingles(docs, words)
+    free_shuffles(docs.sparkSession)
 
     def make():
         factors = multipliers(tables)
@@ -119,7 +154,7 @@ def sketches(docs: DataFrame, words: int = WORDS, tables: int = TABLES, sample:
             for t in texts:
                 hashes = shingle_hashes(t, words)
                 own = np.unique(hashes)
-                short = np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+                short = np.unique(short_hashes(own)).view(np.int32)
                 out.append((signed(fingerprint(hashes)), sampled_prints(own, factors, sample), len(own), parities(own), short, prefix(own, common, similarity).view(np.int64)))
             return out
 
@@ -199,10 +234,13 @@ def first_pairs(sketched: DataFrame) -> DataFrame:
 def linked_groups(sketched: DataFrame, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
     """(node, root) of the groups that the links between near copies make, from durable sketches."""
     spark = sketched.sparkSession
+    rest_executors(spark)
     pairs = checkpointed(first_pairs(sketched), FEWER)
     free_shuffles(spark)
+    rest_executors(spark)
     known = checkpointed(similar(pairs, sketched, similarity), FEWER)
     roots = checkpointed(components(known), FEWER)
+    rest_executors(spark)
     more = checkpointed(_missing(sketched, roots, pairs, small, similarity), FEWER)
     del pairs, known
     free_shuffles(spark)

@@ -17,6 +17,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "lattica", cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -106,3 +107,24 @@ def free_shuffles(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Rows that go to a Python worker at a time where the session has Spark's own setting, of 10,000. So many long
+#: texts are tens of MB, held by the executor's JVM outside its heap and by the worker.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once; a session that names a number itself keeps it."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
+def rest_executors(spark: SparkSession) -> None:
+    """Let executors collect their garbage, whereupon their heaps shrink to what is in use.
+
+    Otherwise a heap keeps the size it once grew to, and a step's Python workers need room beside it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()

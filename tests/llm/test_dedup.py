@@ -273,6 +273,26 @@ def test_pairs_behind_a_frequent_passage(spark):
     assert {(r.node, r.root) for r in near_dedup.groups(table(spark, rows)).collect()} == {(i, i - i % 2) for i in range(400)}
 
 
+def test_common_shingles_are_counted_over_all_documents(spark):
+    """40 passages, each in 12 of 60,000 documents: a sample of a fixed size misses most of them."""
+    words = F.concat_ws(" ", F.concat(F.lit("u"), "doc_id"), *[F.lit(f"w{k}") for k in range(3)])
+    passage = F.concat_ws(" ", *[F.concat(F.lit(f"p{k}x"), F.col("doc_id") % 40) for k in range(6)])
+    docs = spark.range(60_000).withColumnRenamed("id", "doc_id")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") < 480, passage).when(F.col("doc_id") < 59_990, words).otherwise(F.lit("in ten documents only, ten")))
+    shingles, n = near_dedup.common_shingles(docs.unionByName(spark.sql("select cast(null as long) doc_id, 'in ten documents only, ten' text")))
+    want = {h: 12 for j in range(40) for h in near_dedup.short_hashes(simhash.shingle_hashes(" ".join(f"p{k}x{j}" for k in range(6)), 5)).tolist()}
+    want |= {h: 10 for h in near_dedup.short_hashes(simhash.shingle_hashes("in ten documents only, ten", 5)).tolist()}
+    assert shingles.tolist() == sorted(want) and dict(zip(shingles.tolist(), n.tolist(), strict=True)) == want
+    assert [len(x) for x in near_dedup.common_shingles(table(spark, [(None, "a"), (1, None), (2, "b")]))] == [0, 0]
+
+
+def test_all_documents_order_the_prefixes():
+    """Shingles that are common by their upper halves come last, whatever their place among hashes."""
+    own = np.arange(1, 11, dtype=np.uint64) << np.uint64(32)
+    common = np.array([1, 2, 7], np.uint32), np.array([30, 20, 9])
+    assert (near_dedup.prefix(own, common, 0.2) >> np.uint64(32)).tolist() == [3, 4, 5, 6, 8, 9, 10, 7, 2]
+
+
 # -- repeated strings -------------------------------------------------------------------------
 
 

@@ -33,3 +33,22 @@ def test_cuts_go_with_the_driver(tmp_path):
                 break
             time.sleep(0.2)
         assert not list(folder.glob("cut-*"))
+
+
+def test_executors_rest(spark):
+    """Garbage is collected where tasks run, and batches are small unless the session says otherwise."""
+    from lattica.session import BATCH_ROWS, rest_executors, small_batches
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    runs = lambda: sum(b.getCollectionCount() for b in beans)
+    before = runs()
+    rest_executors(spark)
+    assert runs() > before
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for given, then in (("10000", str(BATCH_ROWS)), ("77", "77")):
+            spark.conf.set(rows, given)
+            small_batches(spark)
+            assert spark.conf.get(rows) == then
+    finally:
+        spark.conf.unset(rows)
